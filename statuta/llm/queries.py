@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import leaks, packing, split, vectors
+from statuta.llm import leaks, neardup, packing, split, vectors
 from statuta.runtime import read
 
 
@@ -17,6 +17,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.similar_pairs(p2_neighbours(spark, folder))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.chunk_pairs(*neardup.near_duplicates(read(spark, folder, "search_results")))
+
+
+def p4_members(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.linked_members(*neardup.near_duplicates(read(spark, folder, "search_results")))
+
+
 def _pieces(spark: SparkSession, folder: str, strategy: str) -> DataFrame:
     return split.split_items(split.oversized(read(spark, folder, "search_results")), strategy)
 
@@ -46,7 +54,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p5_found, p5_bisected, p7_containers, p7_fill, p8_found, p8_spans)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_members, p5_found, p5_bisected, p7_containers, p7_fill, p8_found, p8_spans)}
 ORACLE: dict[str, str] = {
     "p2_found": """
 WITH p AS (SELECT point_id, cfr_dense AS v FROM points WHERE point_id IS NOT NULL AND len(cfr_dense) = 64
@@ -55,4 +63,12 @@ WITH p AS (SELECT point_id, cfr_dense AS v FROM points WHERE point_id IS NOT NUL
 s AS (SELECT a.point_id AS a, b.point_id AS b, round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 9) AS s FROM p a, p b WHERE a.point_id <> b.point_id),
 t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS point_id_a, greatest(a, b) AS point_id_b FROM t WHERE s >= 0.85""",
+    "p4_found": r"""
+WITH c AS (SELECT chunk_id, max(text) AS text, max(nullif(regexp_replace(lower(defines), '[\s\x{00a0}\-]+', '', 'g'), '')) AS term FROM search_results GROUP BY chunk_id),
+w AS (SELECT chunk_id, term, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM c),
+d AS (SELECT chunk_id, term, list_distinct(w) AS w FROM w WHERE len(w) >= 12),
+e AS (SELECT chunk_id, unnest(w) AS x FROM d),
+i AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT i.a AS chunk_id_a, i.b AS chunk_id_b FROM i JOIN d p ON p.chunk_id = i.a JOIN d q ON q.chunk_id = i.b
+WHERE n * 10 >= 7 * (len(p.w) + len(q.w) - n) AND (p.term IS NULL OR q.term IS NULL OR p.term = q.term)""",
 }

@@ -121,7 +121,8 @@ def oversized(results: DataFrame, limit: int = LIMIT) -> DataFrame:
     count = lambda c: F.size(F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != ""))
     most = words_within(limit)
     long = rows.where(F.length("whole") + F.length("preamble") > 2 * most).where(count("whole") + count("preamble") > most)
-    return long.where("whole <> ''").dropDuplicates(["chunk_id"])
+    # A chunk's rows agree; if they do not, the largest text counts.
+    return long.where("whole <> ''").groupBy("chunk_id").agg(F.max(F.struct("whole", "preamble")).alias("_x")).select("chunk_id", "_x.*")
 
 
 def split_items(items: DataFrame, strategy: str = "fill", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
