@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.llm import leaks, neardup, packing, split, vectors
+from statuta.llm import leaks, neardup, packing, split, subjects, vectors
 from statuta.runtime import read
 
 
@@ -54,7 +54,19 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_members, p5_found, p5_bisected, p7_containers, p7_fill, p8_found, p8_spans)}
+def p9_areas(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subject_areas(*(read(spark, folder, t) for t in ("documents", "subject_examples", "subjects")))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_areas(spark, folder).where(F.col("posterior") >= subjects.POSTERIOR).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.composition(p9_areas(spark, folder), read(spark, folder, "documents").count())
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_members, p5_found, p5_bisected, p7_containers, p7_fill, p8_found, p8_spans, p9_found, p9_areas, p9_composition)}
 ORACLE: dict[str, str] = {
     "p2_found": """
 WITH p AS (SELECT point_id, cfr_dense AS v FROM points WHERE point_id IS NOT NULL AND len(cfr_dense) = 64
