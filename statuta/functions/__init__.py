@@ -1 +1 @@
-
+"""Column functions, all inside the JVM."""

@@ -1 +1 @@
-
+"""Scans: regulation XML, chunk files, uploads and tables."""
