@@ -1 +1 @@
-
+"""Structured Streaming: incremental ingest, job states and event windows."""
