@@ -80,7 +80,8 @@ def snapshot_changes(snapshots: DataFrame, key: str, compared: list[str], snapsh
     placed = newest.join(dictionary, "_key").select(F.floor(F.col("ordinal") / BLOCK).alias("_block"), (F.col("ordinal") % BLOCK).cast("int").alias("_slot"), "_no", "_print")
 
     def diff(rows: pd.DataFrame) -> pd.DataFrame:
-        block, found = int(rows["_block"].iloc[0]), []
+        block = int(rows["_block"].iloc[0])
+        number_of, ordinal, kind_of = [], [], []
         bitmaps: dict[int, bytes] = {}
         vectors: dict[int, np.ndarray] = {}
         for number, part in rows.groupby("_no"):
@@ -93,8 +94,10 @@ def snapshot_changes(snapshots: DataFrame, key: str, compared: list[str], snapsh
             differ = vectors.get(before, blank) != vectors.get(after, blank)
             for kind, bits in (("added", new & ~old), ("removed", old & ~new), ("changed", old & new & differ)):
                 at = np.flatnonzero(bits)
-                found.append(pd.DataFrame({"_no": after, "ordinal": block * BLOCK + at, "change_kind": kind}))
-        return pd.concat(found) if found else pd.DataFrame({"_no": [], "ordinal": [], "change_kind": []})
+                number_of += [after] * len(at)
+                ordinal += (block * BLOCK + at).tolist()
+                kind_of += [kind] * len(at)
+        return pd.DataFrame({"_no": np.array(number_of, np.int32), "ordinal": np.array(ordinal, np.int64), "change_kind": np.array(kind_of, object)})
 
     changes = placed.groupBy("_block").applyInPandas(diff, "_no int, ordinal long, change_kind string")
     return changes.join(dictionary, "ordinal").select(F.col("_no").alias(snapshot), F.col("_key").alias(key), "change_kind")
