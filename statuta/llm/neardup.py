@@ -5,8 +5,8 @@ unrelated texts cover every region (see README), so each set goes to the regions
 words. For sets x and y of similarity t or more the words before their first common one are in one
 of the two only, so positions i and j of that word satisfy i + j <= h(x, y) = (1 - t) / (1 + t) *
 (|x| + |y|), the largest possible symmetric difference. In a region the positions and sizes give
-windows, parities of hashed words bound the symmetric difference from below, and what is left is
-verified on the words themselves. No pair is lost, and a region too large for one task is split
+windows, parities of the hashed words from there on bound the rest of the symmetric difference from
+below, and what is left is verified on the words themselves. No pair is lost, and a region too large for one task is split
 into blocks that meet each other.
 """
 
@@ -28,21 +28,23 @@ from statuta.runtime import cut
 RANKED = 400_000
 #: Rows of a region beyond which it is split into blocks.
 REGION = 20_000
-#: Words of a set beyond which its parities have four times the bits.
-LONG = 112
-LANES = ("p0", "p1", "p2", "p3")
+LANES = ("p0", "p1", "p2")
 
 
-def _parities(flat: np.ndarray, starts: np.ndarray, lanes: int) -> np.ndarray:
-    """Of each set the parity of its words in 64 x lanes hashed cells."""
-    cell = (flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)  # 1,024 cells
-    bits = np.zeros((len(flat), lanes), np.uint64)
-    bits[np.arange(len(flat)), ((cell >> np.uint64(6)) % np.uint64(lanes)).astype(np.int64)] = np.uint64(1) << (cell & np.uint64(63))
-    return np.bitwise_xor.reduceat(bits, starts, axis=0)
+def _suffix_parities(flat: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each word of each set the parity, in 64 cells a lane, of the set's words from there on."""
+    cell = (flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)
+    bits = np.zeros((len(flat) + 1, len(LANES)), np.uint64)
+    bits[np.arange(len(flat)), ((cell >> np.uint64(6)) % np.uint64(len(LANES))).astype(np.int64)] = np.uint64(1) << (cell & np.uint64(63))
+    before = np.bitwise_xor.accumulate(np.roll(bits, 1, axis=0), axis=0)  # of all words before, in any set
+    return np.repeat(before[starts + size], size, axis=0) ^ before[:-1]
 
 
 def _regions(sets: DataFrame, threshold: float) -> DataFrame:
-    """(region, side, i, size, cid, parities): a row for every word that may be the first common one."""
+    """(region, side, slack, size, cid, parities): a row for every word that may be the first common one.
+
+    slack is the set's share of the largest symmetric difference less the words before this one.
+    """
     spark = sets.sparkSession
     counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counts = cut(counts, "words")
@@ -67,62 +69,52 @@ def _regions(sets: DataFrame, threshold: float) -> DataFrame:
             hit = (known[at] == flat) if len(known) else np.zeros(len(flat), bool)
             rank = np.where(hit, rank_of[at] if len(known) else 0, 0)
             rows = np.where(hit, rows_of[at] if len(known) else 0, 0)
-            narrow = _parities(flat, starts, 4).view(np.int64)
-            wide = _parities(flat, starts, 16)
             sort = np.lexsort((flat, rank, owner))
             flat, rows = flat[sort], rows[sort]
+            lanes = _suffix_parities(flat, starts, size).view(np.int64)
             place = np.arange(len(flat)) - np.repeat(starts, size)
             kept = place <= np.floor((1 - threshold) * size + 1e-9)[owner]
-            flat, rows, place, owner = flat[kept], rows[kept], place[kept], owner[kept]
+            slack = ((1 - threshold) / (1 + threshold) * size[owner] - place).astype(np.float32)
+            flat, rows, slack, owner, lanes = flat[kept], rows[kept], slack[kept], owner[kept], lanes[kept]
             blocks = np.maximum(1, -(-rows // REGION))
             own = (cid[owner].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) >> np.uint64(20)).astype(np.int64) % blocks
             again = np.repeat(np.arange(len(flat)), blocks)
             other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            flat, place, owner, own = flat[again], place[again], owner[again], own[again]
+            flat, slack, owner, own, lanes = flat[again], slack[again], owner[again], own[again], lanes[again]
             low, high = np.minimum(own, other), np.maximum(own, other)
             with np.errstate(over="ignore"):
                 region = flat ^ ((low << 20 | high) * np.int64(0x2545F4914F6CDD1D))
             side = np.where(low == high, 0, np.where(own == low, 1, 2))
-            extra = pa.array([wide[o].tobytes() if size[o] > LONG else None for o in owner], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(region), pa.array(side, pa.int8()), pa.array(place, pa.int32()), pa.array(size[owner], pa.int32()), pa.array(cid[owner]), *(pa.array(narrow[owner, k]) for k in range(4)), extra],
-                ["region", "side", "i", "size", "cid", *LANES, "extra"],
+                [pa.array(region), pa.array(side, pa.int8()), pa.array(slack), pa.array(size[owner], pa.int32()), pa.array(cid[owner]), *(pa.array(lanes[:, k]) for k in range(len(LANES)))],
+                ["region", "side", "slack", "size", "cid", *LANES],
             )
 
-    return sets.select("cid", "words").mapInArrow(spread, "region long, side byte, i int, size int, cid long, p0 long, p1 long, p2 long, p3 long, extra binary")
+    return sets.select("cid", "words").mapInArrow(spread, "region long, side byte, slack float, size int, cid long, " + ", ".join(f"{lane} long" for lane in LANES))
 
 
-def _candidates(i: np.ndarray, size: np.ndarray, side: np.ndarray, cid: np.ndarray, lanes: np.ndarray, extra: list, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a region, sorted by i, that pass the windows and the parities."""
-    share = (1 - threshold) / (1 + threshold)
-    reach = (share * size).astype(np.float32)
-    most, n = float(reach.max()), len(i)
-    rows, wide = 128, 2048
+def _candidates(slack: np.ndarray, size: np.ndarray, side: np.ndarray, cid: np.ndarray, lanes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a region, sorted by falling slack, that pass the windows and the parities."""
+    n, rows, wide = len(slack), 128, 4096
     for a in range(0, n, rows):
         b = min(a + rows, n)
-        if 2 * i[a] > 2 * most:
-            return
-        end = int(np.searchsorted(i, reach[a:b].max() + most - i[a] + 1, "right"))
+        end = n - int(np.searchsorted(slack[::-1], -slack[a] - 1e-3, "left"))
         for c in range(a, end, wide):
             d = min(c + wide, end)
-            limit = reach[a:b, None] + reach[None, c:d] + np.float32(1e-3)
-            apart = np.bitwise_count(lanes[a:b, None, 0] ^ lanes[None, c:d, 0])
-            apart += np.bitwise_count(lanes[a:b, None, 1] ^ lanes[None, c:d, 1])
-            x, y = np.nonzero(apart <= limit)
+            most = int(slack[a] + slack[c] + 1e-3)  # the loosest of the block
+            if most < 0:
+                break
+            apart = np.bitwise_count(lanes[0][a:b, None] ^ lanes[0][None, c:d])
+            x, y = np.divmod(np.flatnonzero(apart.ravel() <= most), d - c)
             x, y = x + a, y + c
-            ok = (y > x) & (i[x] + i[y] <= reach[x] + reach[y] + 1e-3) & (np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-9) & (cid[x] != cid[y]) & ((side[x] != side[y]) | (side[x] == 0))
-            x, y = x[ok], y[ok]
-            ok = np.bitwise_count(lanes[x] ^ lanes[y]).sum(1) <= reach[x] + reach[y] + 1e-3
+            limit = slack[x] + slack[y] + 1e-3
+            ok = (y > x) & (apart.ravel()[(x - a) * (d - c) + y - c] <= limit)
+            x, y, limit = x[ok], y[ok], limit[ok]
+            ok = sum(np.bitwise_count(lane[x] ^ lane[y]).astype(np.int16) for lane in lanes) <= limit
             x, y = x[ok], y[ok]
-            both = np.array([extra[p] is not None and extra[q] is not None for p, q in zip(x, y)], bool)
-            if both.any():
-                p, q = x[both], y[both]
-                left, right = (np.frombuffer(b"".join(extra[z] for z in side_), np.uint64).reshape(len(p), -1) for side_ in (p, q))
-                bad = np.bitwise_count(left ^ right).sum(1) > reach[p] + reach[q] + 1e-3
-                both[both] = bad
-                x, y = x[~both], y[~both]
-            if len(x):
-                yield x, y
+            ok = (np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-9) & (cid[x] != cid[y]) & ((side[x] != side[y]) | (side[x] == 0))
+            if ok.any():
+                yield x[ok], y[ok]
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
@@ -135,14 +127,13 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, "region"):
             region = table.column("region").to_numpy()
-            i, size, side, cid = (table.column(c).to_numpy() for c in ("i", "size", "side", "cid"))
-            lanes = np.stack([table.column(c).to_numpy() for c in LANES], 1).view(np.uint64)
-            extra = table.column("extra").to_pylist()
+            slack, size, side, cid = (table.column(c).to_numpy() for c in ("slack", "size", "side", "cid"))
+            lanes = [table.column(c).to_numpy().view(np.uint64) for c in LANES]
             starts = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
             found = []
             for a, b in zip(starts, np.r_[starts[1:], len(region)]):
                 if b - a > 1:
-                    for x, y in _candidates(i[a:b], size[a:b], side[a:b], cid[a:b], lanes[a:b], extra[a:b], threshold):
+                    for x, y in _candidates(slack[a:b], size[a:b], side[a:b], cid[a:b], [lane[a:b] for lane in lanes], threshold):
                         p, q = cid[a:b][x], cid[a:b][y]
                         found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
             if found:
@@ -150,7 +141,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["cid_a", "cid_b"])
 
     filled = sets.where(F.size("words") > 0)
-    near = _regions(filled, threshold).repartition("region").sortWithinPartitions("region", "i").mapInArrow(compare, "cid_a long, cid_b long").distinct()
+    near = _regions(filled, threshold).repartition("region").sortWithinPartitions("region", F.desc("slack")).mapInArrow(compare, "cid_a long, cid_b long").distinct()
     a, b = (filled.select(F.col("cid").alias(f"cid_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
     checked = near.join(a, "cid_a").join(b, "cid_b").withColumn("n_common", F.size(F.array_intersect("words_a", "words_b")))
     checked = checked.withColumn("n_union", F.size("words_a") + F.size("words_b") - F.col("n_common"))
