@@ -364,17 +364,27 @@ def label_path(spark: SparkSession, d: str) -> DataFrame:
     return chunking.label_paths(rows, ["l_orderkey"], "pos").select("l_orderkey", "pos", "level", "label_path")
 
 
-@query("SELECT event_id, first_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first_signup FROM events")
+_LINES = "(SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, l_returnflag || l_linestatus AS kind FROM lineitem)"
+_SOFAR = "OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an order in sequence: an order has a few, as a section has, so its window is bounded."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.row_number().over(order).alias("pos"), F.concat("l_returnflag", "l_linestatus").alias("kind"))
+
+
+@query(f"SELECT k, pos, first_value(CASE WHEN kind = 'NO' THEN pos END IGNORE NULLS) {_SOFAR} AS first_open FROM {_LINES}")
 def preamble_ffill(spark: SparkSession, d: str) -> DataFrame:
-    sofar = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return read(spark, d, "events").select("event_id", F.first(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(sofar).alias("first_signup"))
+    sofar = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _lines(spark, d).select("k", "pos", F.first(F.when(F.col("kind") == "NO", F.col("pos")), ignorenulls=True).over(sofar).alias("first_open"))
 
 
-@query("SELECT user_id, island, count(*) AS n, min(ts) AS since FROM (SELECT user_id, ts, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS island FROM events) GROUP BY ALL")
+@query(f"SELECT k, island, count(*) AS n, min(pos) AS since FROM (SELECT k, pos, sum(CASE WHEN kind = 'NO' THEN 1 ELSE 0 END) {_SOFAR}::BIGINT AS island FROM {_LINES}) GROUP BY ALL")
 def fold_islands(spark: SparkSession, d: str) -> DataFrame:
-    sofar = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = read(spark, d, "events").withColumn("island", F.sum(F.when(F.col("event_type") == "signup", 1).otherwise(0)).over(sofar))
-    return rows.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("ts").alias("since"))
+    sofar = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _lines(spark, d).withColumn("island", F.sum(F.when(F.col("kind") == "NO", 1).otherwise(0)).over(sofar))
+    return rows.groupBy("k", "island").agg(F.count("*").alias("n"), F.min("pos").alias("since"))
 
 
 @query("SELECT l_orderkey, l_suppkey, l_linenumber, count(*) OVER w AS n_same, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS occ FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_suppkey)")
@@ -383,21 +393,21 @@ def occurrence_index(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", F.count("*").over(same).alias("n_same"), F.row_number().over(same.orderBy("l_linenumber", "l_partkey", "l_extendedprice")).alias("occ"))
 
 
-@query("SELECT event_id, lag(event_id) OVER w AS prev_id, lead(event_id) OVER w AS next_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+@query(f"SELECT k, pos, lag(kind) OVER w AS prev_kind, lead(kind) OVER w AS next_kind FROM {_LINES} WINDOW w AS (PARTITION BY k ORDER BY pos)")
 def neighbour_links(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return read(spark, d, "events").select("event_id", F.lag("event_id").over(w).alias("prev_id"), F.lead("event_id").over(w).alias("next_id"))
+    w = Window.partitionBy("k").orderBy("pos")
+    return _lines(spark, d).select("k", "pos", F.lag("kind").over(w).alias("prev_kind"), F.lead("kind").over(w).alias("next_kind"))
 
 
-@query("SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_id) AS path FROM events GROUP BY user_id")
+@query(f"SELECT k, string_agg(kind, ' ' ORDER BY pos) AS path FROM {_LINES} GROUP BY k")
 def string_agg_ordered(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").groupBy("user_id").agg(chunking.joined(F.col("event_type"), F.struct("ts", "event_id")).alias("path"))
+    return _lines(spark, d).groupBy("k").agg(chunking.joined(F.col("kind"), F.col("pos")).alias("path"))
 
 
-@query("SELECT user_id, list(event_type ORDER BY f) AS kinds FROM (SELECT user_id, event_type, min((ts, event_id)) AS f FROM events GROUP BY ALL) GROUP BY user_id")
+@query(f"SELECT k, list(kind ORDER BY f) AS kinds FROM (SELECT k, kind, min(pos) AS f FROM {_LINES} GROUP BY ALL) GROUP BY k")
 def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
-    first = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("f"))
-    return first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "event_type"))), lambda x: x["event_type"]).alias("kinds"))
+    first = _lines(spark, d).groupBy("k", "kind").agg(F.min("pos").alias("f"))
+    return first.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "kind"))), lambda x: x["kind"]).alias("kinds"))
 
 
 @query(r"""WITH h AS (SELECT query_id, chunk_id, any_value(coalesce(cfr_citation, 'Unknown section')) AS cite, max(text) AS text, max(score) AS score FROM (SELECT DISTINCT query_id, chunk_id, first_value(cfr_citation) OVER (PARTITION BY query_id, chunk_id ORDER BY result_id) AS cfr_citation, text, score FROM search_results WHERE query_id IS NOT NULL) GROUP BY ALL),
@@ -414,26 +424,26 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
 
 # Reports, events, JSON
 
-_SEV = {"error": "critical", "purchase": "high", "click": "medium", "view": "low"}
-_CASE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SEV.items()) + " ELSE 'other' END"
+_SEV = {"RF": "critical", "AF": "high", "NO": "medium", "NF": "low"}
+_CASE = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SEV.items()) + " ELSE 'other' END"
 _COUNTS = ", ".join(f"count(*) FILTER (s = '{s}') AS {s}" for s in reports.SEVERITIES)
-_REPORT = f"(SELECT user_id AS document_id, count(*) AS total, {_COUNTS} FROM (SELECT user_id, {_CASE} AS s FROM events) GROUP BY 1)"
+_REPORT = f"(SELECT k AS document_id, count(*) AS total, {_COUNTS} FROM (SELECT k, {_CASE} AS s FROM {_LINES}) GROUP BY 1)"
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").alias("seq"), reports.mapped(F.col("event_type"), _SEV, "other").alias("severity"), F.col("event_type").alias("text"))
+    return _lines(spark, d).select(F.col("k").alias("document_id"), F.col("pos").alias("seq"), reports.mapped(F.col("kind"), _SEV, "other").alias("severity"), F.col("kind").alias("text"))
 
 
 @query(f"SELECT *, CASE WHEN critical + high > 0 THEN 'non_compliant' WHEN medium + low > 0 THEN 'partially_compliant' ELSE 'compliant' END AS overall_status FROM {_REPORT}")
 def severity_report(spark: SparkSession, d: str) -> DataFrame:
     found = _findings(spark, d)
-    documents = found.select("document_id").distinct().withColumn("error", F.lit(None).cast("string"))
+    documents = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id")).distinct().withColumn("error", F.lit(None).cast("string"))
     return reports.severity_report(documents, found).drop("findings", "error")
 
 
-@query("SELECT user_id AS document_id, 'v-' || row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS id, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'warning' WHEN 'click' THEN 'info' WHEN 'view' THEN 'pass' ELSE 'info' END AS severity, CASE event_type WHEN 'error' THEN 'Prohibited' ELSE 'Potential Violation' END || ' Health Claim' AS title FROM events")
+@query(f"SELECT k AS document_id, 'v-' || pos AS id, CASE kind WHEN 'RF' THEN 'critical' WHEN 'AF' THEN 'warning' WHEN 'NO' THEN 'info' WHEN 'NF' THEN 'pass' ELSE 'info' END AS severity, CASE kind WHEN 'RF' THEN 'Prohibited' ELSE 'Potential Violation' END || ' Health Claim' AS title FROM {_LINES}")
 def findings_view(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("text") == "error", "prohibited")
+    kind = F.when(F.col("text") == "RF", "prohibited")
     rows = _findings(spark, d).withColumns({"violation_type": kind, "claim_type": F.lit("health_claim"), "claim_text": F.col("text"), "explanation": F.lit(""), "cfr_citation": F.lit(None).cast("string")})
     return reports.finding_view(rows).select("document_id", "id", "severity", "title")
 
