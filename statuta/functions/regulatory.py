@@ -159,20 +159,19 @@ def overflow_parts(text: Column, threshold: int = 400, factor: float = 1.35) ->
 
     Sentences count at least one token each, and a text within the threshold is one part.
     """
-    tokens = lambda t: F.greatest(F.lit(1), F.floor(F.size(F.filter(F.split(t, BLANKS), lambda w: w != "")) * F.lit(factor)).cast("int"))
-    start = F.struct(F.expr("cast(array() as array<array<string>>)").alias("done"), F.expr("cast(array() as array<string>)").alias("open"), F.lit(0).alias("used"))
+    tokens = lambda t: F.greatest(F.lit(1), F.floor(F.size(F.array_remove(F.split(t, BLANKS), "")) * F.lit(factor)).cast("int"))
+    # Every sentence is counted once, and the fold carries texts that only grow.
+    sized = F.transform(F.split(text, SENTENCE_END), lambda s: F.struct(s.alias("s"), tokens(s).alias("n")))
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("used"))
 
     def step(state: Column, sentence: Column) -> Column:
-        size = tokens(sentence)
-        full = (state["used"] + size > threshold) & (F.size(state["open"]) > 0)
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"),
-            F.when(full, F.array(sentence)).otherwise(F.concat(state["open"], F.array(sentence))).alias("open"),
-            F.when(full, size).otherwise(state["used"] + size).alias("used"),
+        full = (state["used"] + sentence["n"] > threshold) & state["open"].isNotNull()
+        return F.when(full, F.struct(F.concat(state["done"], F.array(state["open"])).alias("done"), sentence["s"].alias("open"), sentence["n"].alias("used"))).otherwise(
+            F.struct(state["done"].alias("done"), F.concat_ws(" ", state["open"], sentence["s"]).alias("open"), (state["used"] + sentence["n"]).alias("used"))
         )
 
-    filled = F.aggregate(F.split(text, SENTENCE_END), start, step, lambda s: F.transform(F.concat(s["done"], F.array(s["open"])), lambda p: F.array_join(p, " ")))
-    return F.when(tokens(text) <= threshold, F.array(text)).when(F.size(filled) > 1, filled).otherwise(F.array(text))
+    filled = F.aggregate(sized, start, step, lambda s: F.when(F.size(s["done"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(F.array(text)))
+    return F.when(tokens(text) <= threshold, F.array(text)).otherwise(filled)
 
 
 def first_chars(text: Column, n: int) -> Column:

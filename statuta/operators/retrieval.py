@@ -5,8 +5,11 @@ Everything works on a batch of queries keyed by query_id, so many questions cost
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ DENSE_TOP, SPARSE_TOP, FUSED_TOP, RERANK_TOP, RRF_K, MOST_HOPS = 60, 60, 20, 10,
 FILTERS = ("part_number", "chapter_number", "subpart_letter", "section_number", "chunk_type", "source_file")
 #: Queries are broadcast only up to so many; larger batches are joined by shuffling.
 MOST_BROADCAST_QUERIES = 20_000
+#: Query terms times queries up to which a sparse search broadcasts the queries (64 MB).
+MOST_CELLS = 8_000_000
 
 
 def predicate(filters: dict[str, str | None]) -> Column:
@@ -63,14 +68,57 @@ def terms(rows: DataFrame, id_column: str, text: str = "text") -> DataFrame:
     return rows.select(F.col(id_column).alias("id"), F.explode(parts).alias("term")).groupBy("id", "term").agg(F.count("*").cast("double").alias("weight"))
 
 
+def _partial_products(postings: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): the k best of every batch of ids per query, as products of matrices.
+
+    ``postings`` has id and its distinct terms with their weights as two lists; the queries are
+    broadcast. The best k of all are among the best k of each batch.
+    """
+    rows = asked.collect()  # checked by the caller
+    names, terms_ = sorted({r["query_id"] for r in rows}), sorted({r["term"] for r in rows})
+    column, line = {n: i for i, n in enumerate(names)}, {t: i for i, t in enumerate(terms_)}
+    weights = np.zeros((len(terms_), len(names)))
+    for r in rows:
+        weights[line[r["term"]], column[r["query_id"]]] += r["_w"]
+    shared = postings.sparkSession.sparkContext.broadcast((names, terms_, weights))
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {postings.schema['id'].dataType.simpleString()}, score double"
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, vocabulary, matrix = shared.value
+        queries_of, values = pa.array(known), pa.array(vocabulary, pa.string())
+        for batch in (part for whole in batches for part in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024))):
+            batch = batch.take(pc.sort_indices(batch.column("id")))
+            terms_of = batch.column("terms")
+            at = pc.index_in(terms_of.flatten(), value_set=values)
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(terms_of).to_numpy(zero_copy_only=False))
+            hit = pc.is_valid(at).to_numpy(zero_copy_only=False)
+            counts = np.zeros((batch.num_rows, len(vocabulary)))
+            counts[owner[hit], at.drop_null().to_numpy()] = batch.column("weights").flatten().to_numpy(zero_copy_only=False)[hit]
+            total = counts @ matrix
+            best = np.argsort(-total, axis=0, kind="stable")[:k]
+            value = np.take_along_axis(total, best, 0)
+            keep = value > 0
+            which = np.broadcast_to(np.arange(len(known)), best.shape)[keep]
+            yield pa.RecordBatch.from_arrays([queries_of.take(pa.array(which)), batch.column("id").take(pa.array(best[keep])), pa.array(value[keep])], ["query_id", "id", "score"])
+
+    return postings.mapInArrow(score, schema)
+
+
 def sparse_search(postings: DataFrame, queries: DataFrame, k: int = SPARSE_TOP) -> DataFrame:
     """(query_id, id, score, rank) from postings (id, term, weight) and queries (query_id, term, weight).
 
-    An inverted-index join: only terms that queries have are kept before the shuffle, and scores are
-    summed on the map side first.
+    Only terms that queries have take part. While the queries' matrix has at most ``MOST_CELLS``
+    cells it is broadcast, and each batch of documents hands on its k best per query, so nothing of
+    the size of the join is shuffled; beyond that it is an inverted-index join with map-side sums.
+    Weights are taken to be positive; null ids and terms match nothing.
     """
-    asked = queries.select("query_id", "term", F.col("weight").alias("_w"))
-    scored = postings.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
+    asked = queries.where("query_id is not null and term is not null").select("query_id", "term", F.col("weight").alias("_w"))
+    sizes = asked.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t")).first()
+    if 0 < sizes["q"] * sizes["t"] <= MOST_CELLS:
+        kept = postings.where("id is not null and term is not null").groupBy("id")
+        scored = _partial_products(kept.agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("weight").cast("double")).alias("weights")), asked, k)
+    else:
+        scored = postings.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
     return ranked(scored, ["query_id"], "score", ["id"], k)
 
 

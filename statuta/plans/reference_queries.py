@@ -13,7 +13,7 @@ from statuta.functions import regulatory as R
 from statuta.functions.text import approx_tokens, squeezed
 from statuta.operators import chunking, reports, retrieval, stats, store
 from statuta.plans.providers import overlap_score
-from statuta.runtime import read
+from statuta.runtime import cut, read, spread
 from statuta.streaming import events as E
 
 QUERIES: dict = {}
@@ -36,12 +36,16 @@ _TOKENS = f"greatest(1, floor(len({_WORDS}) * 1.35)::INT)"
 _DOCS = "(SELECT * FROM documents WHERE text IS NOT NULL)"
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read(spark, d, "documents"), "doc_id")
+
+
 # Text and tokens
 
 
 @query(f"SELECT doc_id, {_TOKENS.format('text')} AS n_tokens FROM {_DOCS}")
 def token_count(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").where("text is not null").select("doc_id", approx_tokens(F.col("text")).alias("n_tokens"))
+    return _documents(spark, d).where("text is not null").select("doc_id", approx_tokens(F.col("text")).alias("n_tokens"))
 
 
 @query(f"SELECT count(*) AS n, round(avg(t), 6) AS mean, round(stddev_samp(t), 6) AS std, min(t) AS min, quantile_cont(t, 0.25) AS p25, quantile_cont(t, 0.5) AS p50, quantile_cont(t, 0.75) AS p75, max(t) AS max FROM (SELECT {_TOKENS.format('text')} AS t FROM {_DOCS})")
@@ -60,7 +64,7 @@ _SENT = r"string_split(regexp_replace({0}, '([.!?])[\s\x{{00a0}}]+([A-Z(])', '\1
 
 @query(f"SELECT doc_id, pos - 1 AS pos, s AS sentence FROM (SELECT doc_id, unnest({_SENT.format('text')}) AS s, generate_subscripts({_SENT.format('text')}, 1) AS pos FROM {_DOCS})")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", R.SENTENCE_END)).alias("pos", "sentence"))
+    return _documents(spark, d).where("text is not null").select("doc_id", F.posexplode(F.split("text", R.SENTENCE_END)).alias("pos", "sentence"))
 
 
 _PARTS = f"""WITH RECURSIVE s AS (SELECT doc_id, text, {_SENT.format('text')} AS s, {_TOKENS.format('text')} AS total FROM {_DOCS}),
@@ -74,13 +78,13 @@ parts AS (SELECT doc_id, part, total_parts, CASE WHEN total_parts = 1 THEN (SELE
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "documents").where("text is not null").select("doc_id", R.overflow_parts(F.col("text")).alias("parts"))
+    rows = _documents(spark, d).where("text is not null").select("doc_id", R.overflow_parts(F.col("text")).alias("parts"))
     return rows.select("doc_id", F.size("parts").alias("total_parts"), F.posexplode("parts").alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("part"), "total_parts", "text")
 
 
 @query(_PARTS + "SELECT doc_id, max(total_parts) AS n_parts FROM parts GROUP BY doc_id")
 def overflow_parts(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").where("text is not null").select("doc_id", F.size(R.overflow_parts(F.col("text"))).alias("n_parts"))
+    return _documents(spark, d).where("text is not null").select("doc_id", F.size(R.overflow_parts(F.col("text"))).alias("n_parts"))
 
 
 @query(_PARTS + "SELECT doc_id, part, total_parts, text, CASE WHEN part < total_parts THEN doc_id || '-part' || (part + 1) END AS next_chunk_id, CASE WHEN part > 1 THEN doc_id || '-part' || (part - 1) END AS prev_chunk_id FROM parts")
@@ -92,7 +96,7 @@ def overflow_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_PARTS + "SELECT a.doc_id || '-part' || a.part AS chunk_id, b.part - a.part AS hop, b.doc_id || '-part' || b.part AS continuation FROM parts a JOIN parts b ON a.doc_id = b.doc_id AND b.part > a.part AND b.part <= a.part + 5")
 def chain_walk(spark: SparkSession, d: str) -> DataFrame:
-    rows = overflow_chunks(spark, d)
+    rows = cut(overflow_chunks(spark, d).where("total_parts > 1"), "parts")  # every hop reads it
     name = F.concat(F.col("doc_id").cast("string"), F.lit("-part"), F.col("part").cast("string"))
     chunks = rows.where("total_parts > 1").select(name.alias("chunk_id"), "text", F.struct("part", "total_parts", "next_chunk_id", "prev_chunk_id").alias("overflow_sequence"))
     hits = retrieval.expand_overflow(chunks.select(F.lit("all").alias("query_id"), "chunk_id"), chunks)
@@ -107,7 +111,7 @@ _CITES = [r"\d+[\s\x{00a0}]+U\.S\.C\.?[\s\x{00a0}]+[\d§\s\x{00a0}]+[\d][a-z]?(?
     + r"list_sort(list_distinct(regexp_extract_all(text, '(?i)§[\s\x{00a0}]*(\d{3,5}\.\d+(?:\([a-z0-9]+\))*)', 1))) AS internal FROM " + _DOCS
 )
 def citation_extract(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").where("text is not null").select("doc_id", R.external_citations(F.col("text")).alias("citations"), R.internal_references(F.col("text")).alias("internal"))
+    return _documents(spark, d).where("text is not null").select("doc_id", R.external_citations(F.col("text")).alias("citations"), R.internal_references(F.col("text")).alias("internal"))
 
 
 @query(r"SELECT doc_id, lower(regexp_extract(file_name, '\.([^.]*)$', 1)) AS extension, text[1:300] AS head, length(text) > 12000 AS is_long FROM documents WHERE text IS NOT NULL AND file_name IS NOT NULL")
@@ -121,7 +125,7 @@ def upload_heads(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"SELECT doc_id, regexp_replace(sha256(text)[1:32], '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS point_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL")
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").where("text is not null").select("doc_id", R.point_id(F.col("text")).alias("point_id"), R.content_hash(F.col("text")).alias("content_hash"))
+    return _documents(spark, d).where("text is not null").select("doc_id", R.point_id(F.col("text")).alias("point_id"), R.content_hash(F.col("text")).alias("content_hash"))
 
 
 @query(r"""SELECT DISTINCT title_number, section_number, concat_ws('-', title_number, upper(regexp_replace(chapter_number, '[^A-Za-z0-9]', '', 'g')), replace(part_number, '.', '-'), coalesce(upper(subpart_letter), 'nosub'),
@@ -258,7 +262,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 def _sparse(spark: SparkSession, d: str) -> DataFrame:
     asked = retrieval.terms(_questions(spark, d), "query_id", "query").withColumnRenamed("id", "query_id")
-    return retrieval.sparse_search(retrieval.terms(read(spark, d, "documents"), "doc_id"), asked)
+    return retrieval.sparse_search(retrieval.terms(_documents(spark, d), "doc_id"), asked)
 
 
 @query(f"WITH {_SPARSE} SELECT query_id, id, score, rank FROM sparse")
@@ -282,7 +286,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 def _points(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the vector of the same number, where there is one."""
     vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dense"))
-    rows = read(spark, d, "documents").join(vectors, "doc_id", "left")
+    rows = _documents(spark, d).join(vectors, "doc_id", "left")
     return rows.select(F.col("doc_id").alias("point_id"), "text", "dense", F.col("source").alias("chunk_type"), F.col("file_name").alias("source_file"))
 
 

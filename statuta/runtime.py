@@ -58,6 +58,12 @@ def _release_at_exit() -> None:
         release(_written[-1][0])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores if a few input files would leave some idle; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """The table of that name in a folder of Parquet tables."""
     return spark.read.parquet(f"{folder}/{table}.parquet")
