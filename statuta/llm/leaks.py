@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statuta.runtime import spread
+
 WORD = re.compile(r"[^\W_]+")
 GAP = re.compile(r"[\W_]+")
 #: The evaluation texts are broadcast; more than this is refused. (260 items have 0.3 MB.)
@@ -110,4 +112,4 @@ def find_leaks(documents: DataFrame, items: DataFrame, fields: tuple[str, ...] =
                     rows += [(doc_id, item_id, field, start, end) for item_id in ids]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "field", "start_char", "end_char"])
 
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(scan, "doc_id long, item_id long, field string, start_char int, end_char int")
+    return spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id").mapInPandas(scan, "doc_id long, item_id long, field string, start_char int, end_char int")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.runtime import cut
+from statuta.runtime import cut, spread
 
 CAPACITY = 2048
 #: A public byte-level BPE vocabulary as ranks.
@@ -43,7 +43,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             sizes = [len(encoding.encode_ordinary(text)) if isinstance(text, str) else 0 for text in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": sizes})
 
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(count, "doc_id long, n_tokens long")
+    return spread(documents.where("doc_id is not null").select("doc_id", "text"), "doc_id").mapInPandas(count, "doc_id long, n_tokens long")
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int]], int]:
