@@ -52,14 +52,47 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int = DENSE_TOP, id_c
     """(query_id, id, score, rank): exact cosine of every query with every point.
 
     Filter ``points`` before the call. The query set is stated and checked before it is broadcast;
-    norms are computed once per row. Null vectors, vectors of another length and zero vectors are left out.
+    each batch of points hands on its k best per query. Null vectors, vectors of another length,
+    not finite ones and zero vectors are left out. Scores are rounded to 9 decimals, ties go to the
+    smaller id.
     """
-    asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_nq")).where("_nq > 0")
+    asked = queries.where(F.col("query_id").isNotNull() & F.col("vector").isNotNull())
+    known = points.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull())
     if asked.limit(MOST_BROADCAST_QUERIES + 1).count() <= MOST_BROADCAST_QUERIES:
-        asked = F.broadcast(asked)
-    known = points.where(F.col(vector).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_nv")).where("_nv > 0")
-    scored = known.join(asked, F.size("_v") == F.size("_q")).select("query_id", "id", (dot(F.col("_v"), F.col("_q")) / (F.col("_nv") * F.col("_nq"))).alias("score"))
-    return ranked(scored.withColumn("score", F.round("score", 9)), ["query_id"], "score", ["id"], k)
+        scored = _partial_cosines(known.select(F.col(id_column).alias("id"), F.col(vector).alias("v")), asked.select("query_id", "vector"), k)
+    else:
+        left = known.select(F.col(id_column).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_nv")).where("_nv > 0")
+        right = asked.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_nq")).where("_nq > 0")
+        cosine = dot(F.col("_v"), F.col("_q")) / (F.col("_nv") * F.col("_nq"))
+        scored = left.join(right, F.size("_v") == F.size("_q")).select("query_id", "id", F.round(cosine, 9).alias("score"))
+    return ranked(scored, ["query_id"], "score", ["id"], k)
+
+
+def _partial_cosines(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): the k best of every batch of points per query, as products of matrices."""
+    by_width: dict[int, list] = {}
+    for row in asked.collect():  # at most MOST_BROADCAST_QUERIES rows
+        q = np.array([np.nan if x is None else x for x in row["vector"]], float)
+        if len(q) and np.isfinite(q).all() and q.any():
+            by_width.setdefault(len(q), []).append((row["query_id"], q / np.linalg.norm(q)))
+    shared = points.sparkSession.sparkContext.broadcast({w: ([n for n, _ in rows], np.stack([q for _, q in rows])) for w, rows in by_width.items()})
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, score double"
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+            widths = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+            for width, (names, matrix) in shared.value.items():
+                part = batch.filter(pa.array(widths == width))
+                part = part.take(pc.sort_indices(part.column("id")))
+                x = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+                length = np.linalg.norm(x, axis=1)
+                good = np.flatnonzero(np.isfinite(length) & (length > 0))
+                value = np.round((x[good] / length[good, None]) @ matrix.T, 9)
+                best = np.argsort(-value, axis=0, kind="stable")[:k]
+                which = np.broadcast_to(np.arange(len(names)), best.shape).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(which)), part.column("id").take(pa.array(good[best].ravel())), pa.array(np.take_along_axis(value, best, 0).ravel())], ["query_id", "id", "score"])
+
+    return points.mapInArrow(score, schema)
 
 
 def terms(rows: DataFrame, id_column: str, text: str = "text") -> DataFrame:
