@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 from statuta.functions.regulatory import snake_to_title
 
+# Names of severities and kinds, and the advice shown for them.
 SEVERITIES = ("critical", "high", "medium", "low")
 SHOWN = {"critical": "critical", "high": "warning", "medium": "info", "low": "pass"}
 COUNTED = {"critical": "critical", "high": "high-priority", "medium": "medium", "low": "low"}
+KINDS = ("missing", "incorrect", "prohibited", "insufficient_disclosure")
+ADVICE = {"missing": "Add the missing required element to the label.", "prohibited": "Remove or replace this prohibited claim."}
+OTHER_ADVICE = "Review and correct the claim to meet CFR requirements."
+MISSING, MISSING_MARK, DEFAULT_REGULATION = "missing_required_element", "[Missing element] ", "21 CFR Part 101"
 
 
 def mapped(column: Column, mapping: dict[str, str], default: str | None = None) -> Column:
@@ -56,10 +61,10 @@ def summary_line(name: Column, severities: tuple[str, ...] = SEVERITIES) -> Colu
 
 def finding_view(findings: DataFrame) -> DataFrame:
     """Reader's view of findings: a number per document, shown severity, category and title."""
-    kind = F.when(F.col("violation_type").isin("missing", "incorrect", "prohibited", "insufficient_disclosure"), snake_to_title(F.col("violation_type"))).otherwise("Potential Violation")
+    kind = F.when(F.col("violation_type").isin(*KINDS), snake_to_title(F.col("violation_type"))).otherwise("Potential Violation")
     category = snake_to_title(F.coalesce("claim_type", F.lit("claim")))
-    missing = F.col("claim_type") == "missing_required_element"
-    title = F.when(missing, F.replace(F.coalesce("claim_text", F.lit("Required Element")), F.lit("[Missing element] "), F.lit(""))).otherwise(F.concat_ws(" ", kind, category))
-    advice = mapped(F.col("violation_type"), {"missing": "Add the missing required element to the label.", "prohibited": "Remove or replace this prohibited claim."}, "Review and correct the claim to meet CFR requirements.")
+    element = F.replace(F.coalesce("claim_text", F.lit("Required Element")), F.lit(MISSING_MARK), F.lit(""))
+    title = F.when(F.col("claim_type") == MISSING, element).otherwise(F.concat_ws(" ", kind, category))
+    advice = mapped(F.col("violation_type"), ADVICE, OTHER_ADVICE)
     number = F.expr("row_number() over (partition by document_id order by seq)")
-    return findings.select("document_id", F.concat(F.lit("v-"), number.cast("string")).alias("id"), mapped(F.col("severity"), SHOWN, "info").alias("severity"), category.alias("category"), title.alias("title"), advice.alias("recommendation"), F.coalesce("explanation", F.lit("")).alias("description"), F.coalesce("cfr_citation", F.lit("21 CFR Part 101")).alias("regulation"))
+    return findings.select("document_id", F.concat(F.lit("v-"), number.cast("string")).alias("id"), mapped(F.col("severity"), SHOWN, "info").alias("severity"), category.alias("category"), title.alias("title"), advice.alias("recommendation"), F.coalesce("explanation", F.lit("")).alias("description"), F.coalesce("cfr_citation", F.lit(DEFAULT_REGULATION)).alias("regulation"))
