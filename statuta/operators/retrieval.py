@@ -48,40 +48,72 @@ def ranked(scored: DataFrame, key: list[str], score: str, tie: list[str], k: int
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense_search(points: DataFrame, queries: DataFrame, k: int = DENSE_TOP, id_column: str = "point_id", vector: str = "dense") -> DataFrame:
+def scope_of(filters: dict[str, str]) -> Column:
+    """The key of what a query's filters admit: ``filters`` has the filter of each column that holds a value or null."""
+    return F.concat_ws("\u0001", *[F.concat(F.lit(f"{name}="), F.col(value)) for name, value in filters.items()])
+
+
+def in_scopes(points: DataFrame, queries: DataFrame, filters: dict[str, str]) -> DataFrame:
+    """``points`` with ``scope``: a row for each scope of ``queries`` that a point lies in.
+
+    ``filters`` names for each column of the points the column of the queries that restricts it, where
+    null restricts nothing. There are as many kinds of scope as combinations of columns, so each
+    kind is one equality of keys.
+    """
+    kinds = queries.select(*[F.col(c).isNotNull().alias(n) for n, c in filters.items()]).distinct().collect()
+    parts = lambda kind: [F.concat(F.lit(f"{n}="), F.col(n)) for n in filters if kind[n]]
+    between = lambda cs: F.concat(*[x for c in cs for x in (F.lit("\u0001"), c)][1:]) if cs else F.lit("")
+    keys = F.array(*[between(parts(kind)) for kind in kinds]) if kinds else F.array(F.lit(""))
+    return points.withColumn("scope", F.explode(keys)).join(queries.select("scope").distinct(), "scope", "left_semi")
+
+
+def dense_search(points: DataFrame, queries: DataFrame, k: int = DENSE_TOP, id_column: str = "point_id", vector: str = "dense", scope: list[str] | None = None) -> DataFrame:
     """(query_id, id, score, rank): exact cosine of every query with every point.
 
-    Filter ``points`` before the call. The query set is stated and checked before it is broadcast;
+    Filter ``points`` before the call, or name columns of both as ``scope`` if every query has its own
+    filter: then only points with the query's scope (``in_scopes``) are ranked. The query set is stated and checked before it is broadcast;
     each batch of points hands on its k best per query. Null vectors, vectors of another length,
     not finite ones and zero vectors are left out. Scores are rounded to 9 decimals, ties go to the
     smaller id.
     """
     asked = queries.where(F.col("query_id").isNotNull() & F.col("vector").isNotNull())
-    known = points.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull())
+    known, scope = points.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull()), scope or []
     if asked.limit(MOST_BROADCAST_QUERIES + 1).count() <= MOST_BROADCAST_QUERIES:
-        scored = _partial_cosines(known.select(F.col(id_column).alias("id"), F.col(vector).alias("v")), asked.select("query_id", "vector"), k)
+        scored = _partial_cosines(known.select(F.col(id_column).alias("id"), F.col(vector).alias("v"), *scope), asked.select("query_id", "vector", *scope), k, scope)
     else:
-        left = known.select(F.col(id_column).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_nv")).where("_nv > 0")
-        right = asked.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_nq")).where("_nq > 0")
+        left = known.select(F.col(id_column).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_nv"), F.size(vector).alias("_n"), *scope).where("_nv > 0")
+        right = asked.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_nq"), F.size("vector").alias("_n"), *scope).where("_nq > 0")
         cosine = dot(F.col("_v"), F.col("_q")) / (F.col("_nv") * F.col("_nq"))
-        scored = left.join(right, F.size("_v") == F.size("_q")).select("query_id", "id", F.round(cosine, 9).alias("score"))
+        scored = left.join(right, ["_n", *scope]).select("query_id", "id", F.round(cosine, 9).alias("score"))
     return ranked(scored, ["query_id"], "score", ["id"], k)
 
 
-def _partial_cosines(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def _by_scope(batch: pa.RecordBatch, scope: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The rows of a batch for each value of its scope columns; all of them if there are none."""
+    if not scope:
+        yield (), batch
+        return
+    rows: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*[batch.column(c).to_pylist() for c in scope])):
+        rows.setdefault(key, []).append(i)
+    for key, at in rows.items():
+        yield key, batch.take(pa.array(at))
+
+
+def _partial_cosines(points: DataFrame, asked: DataFrame, k: int, scope: list[str]) -> DataFrame:
     """(query_id, id, score): the k best of every batch of points per query, as products of matrices."""
-    by_width: dict[int, list] = {}
+    by_scope: dict[tuple, dict[int, list]] = {}
     for row in asked.collect():  # at most MOST_BROADCAST_QUERIES rows
         q = np.array([np.nan if x is None else x for x in row["vector"]], float)
         if len(q) and np.isfinite(q).all() and q.any():
-            by_width.setdefault(len(q), []).append((row["query_id"], q / np.linalg.norm(q)))
-    shared = points.sparkSession.sparkContext.broadcast({w: ([n for n, _ in rows], np.stack([q for _, q in rows])) for w, rows in by_width.items()})
+            by_scope.setdefault(tuple(row[c] for c in scope), {}).setdefault(len(q), []).append((row["query_id"], q / np.linalg.norm(q)))
+    shared = points.sparkSession.sparkContext.broadcast({s: {w: ([n for n, _ in rows], np.stack([q for _, q in rows])) for w, rows in by_width.items()} for s, by_width in by_scope.items()})
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+        for key, batch in (x for whole in batches for i in range(0, whole.num_rows, 1024) for x in _by_scope(whole.slice(i, 1024), scope)):
             widths = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
-            for width, (names, matrix) in shared.value.items():
+            for width, (names, matrix) in shared.value.get(key, {}).items():
                 part = batch.filter(pa.array(widths == width))
                 part = part.take(pc.sort_indices(part.column("id")))
                 x = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
@@ -95,13 +127,13 @@ def _partial_cosines(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return points.mapInArrow(score, schema)
 
 
-def terms(rows: DataFrame, id_column: str, text: str = "text") -> DataFrame:
-    """(id, term, weight): distinct lower-case letter runs of a text with their counts."""
+def terms(rows: DataFrame, id_column: str, text: str = "text", also: list[str] | None = None) -> DataFrame:
+    """(id, term, weight): distinct lower-case letter runs of a text with their counts; ``also`` are kept beside the id."""
     parts = F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+"), "")
-    return rows.select(F.col(id_column).alias("id"), F.explode(parts).alias("term")).groupBy("id", "term").agg(F.count("*").cast("double").alias("weight"))
+    return rows.select(F.col(id_column).alias("id"), F.explode(parts).alias("term"), *(also or [])).groupBy("id", "term", *(also or [])).agg(F.count("*").cast("double").alias("weight"))
 
 
-def _partial_products(postings: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def _partial_products(postings: DataFrame, asked: DataFrame, k: int, scope: list[str]) -> DataFrame:
     """(query_id, id, score): the k best of every batch of ids per query, as products of matrices.
 
     ``postings`` has id and its distinct terms with their weights as two lists; the queries are
@@ -113,13 +145,19 @@ def _partial_products(postings: DataFrame, asked: DataFrame, k: int) -> DataFram
     weights = np.zeros((len(terms_), len(names)))
     for r in rows:
         weights[line[r["term"]], column[r["query_id"]]] += r["_w"]
-    shared = postings.sparkSession.sparkContext.broadcast((names, terms_, weights))
+    within: dict[tuple, list[int]] = {}
+    for key, n in sorted({(tuple(r[c] for c in scope), column[r["query_id"]]) for r in rows}, key=lambda x: x[1]):
+        within.setdefault(key, []).append(n)
+    shared = postings.sparkSession.sparkContext.broadcast((terms_, {key: ([names[n] for n in at], weights[:, at]) for key, at in within.items()}))
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {postings.schema['id'].dataType.simpleString()}, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vocabulary, matrix = shared.value
-        queries_of, values = pa.array(known), pa.array(vocabulary, pa.string())
-        for batch in (part for whole in batches for part in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024))):
+        vocabulary, asked_in = shared.value
+        values = pa.array(vocabulary, pa.string())
+        for key, batch in (x for whole in batches for i in range(0, whole.num_rows, 1024) for x in _by_scope(whole.slice(i, 1024), scope)):
+            if key not in asked_in:
+                continue
+            known, matrix = asked_in[key]
             batch = batch.take(pc.sort_indices(batch.column("id")))
             terms_of = batch.column("terms")
             at = pc.index_in(terms_of.flatten(), value_set=values)
@@ -132,26 +170,27 @@ def _partial_products(postings: DataFrame, asked: DataFrame, k: int) -> DataFram
             value = np.take_along_axis(total, best, 0)
             keep = value > 0
             which = np.broadcast_to(np.arange(len(known)), best.shape)[keep]
-            yield pa.RecordBatch.from_arrays([queries_of.take(pa.array(which)), batch.column("id").take(pa.array(best[keep])), pa.array(value[keep])], ["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(known).take(pa.array(which)), batch.column("id").take(pa.array(best[keep])), pa.array(value[keep])], ["query_id", "id", "score"])
 
     return postings.mapInArrow(score, schema)
 
 
-def sparse_search(postings: DataFrame, queries: DataFrame, k: int = SPARSE_TOP) -> DataFrame:
+def sparse_search(postings: DataFrame, queries: DataFrame, k: int = SPARSE_TOP, scope: list[str] | None = None) -> DataFrame:
     """(query_id, id, score, rank) from postings (id, term, weight) and queries (query_id, term, weight).
 
     Only terms that queries have take part. While the queries' matrix has at most ``MOST_CELLS``
     cells it is broadcast, and each batch of documents hands on its k best per query, so nothing of
     the size of the join is shuffled; beyond that it is an inverted-index join with map-side sums.
-    Weights are taken to be positive; null ids and terms match nothing.
+    Weights are taken to be positive; null ids and terms match nothing. ``scope`` is that of dense_search.
     """
-    asked = queries.where("query_id is not null and term is not null").select("query_id", "term", F.col("weight").alias("_w"))
+    scope = scope or []
+    asked = queries.where("query_id is not null and term is not null").select("query_id", "term", F.col("weight").alias("_w"), *scope)
     sizes = asked.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t")).first()
     if 0 < sizes["q"] * sizes["t"] <= MOST_CELLS:
-        kept = postings.where("id is not null and term is not null").groupBy("id")
-        scored = _partial_products(kept.agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("weight").cast("double")).alias("weights")), asked, k)
+        kept = postings.where("id is not null and term is not null").groupBy("id", *scope)
+        scored = _partial_products(kept.agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("weight").cast("double")).alias("weights")), asked, k, scope)
     else:
-        scored = postings.join(asked, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
+        scored = postings.join(asked, ["term", *scope]).groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
     return ranked(scored, ["query_id"], "score", ["id"], k)
 
 

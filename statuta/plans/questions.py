@@ -18,6 +18,8 @@ from statuta.plans.providers import encode
 from statuta.runtime import cut
 
 MOST_PLANS, MOST_TERMS, PRIMARY, REFERENCED, PER_QUESTION = 2, 10, 8, 4, 10
+#: Columns of the points and the columns of a plan that restrict them.
+FILTERS = {"part_number": "filter_part", "section_number": "filter_section", "chapter_number": "filter_chapter"}
 PLAN = "intent string, sub_questions array<string>, search_filters struct<part_number: string, section_number: string, chapter_number: string>"
 
 
@@ -42,18 +44,15 @@ class Steps:
 def retrieve(planned: DataFrame, points: DataFrame) -> DataFrame:
     """(query_id, chunk_id, rank, ...): top 10 of each sub-question, the first sub-question winning.
 
-    Filters of a question restrict its points before ranking.
+    Filters of a question restrict its points before ranking. ``planned`` may have filter_chapter.
     """
-    asked = planned.select("query_id", "filter_part", "filter_section", F.posexplode("sub_questions").alias("sq", "query"))
-    asked = encode(asked.withColumn("_id", F.concat_ws("\u0001", "query_id", F.col("sq").cast("string"))), "query")
-    plain = asked.select(F.col("_id").alias("query_id"), "query", F.col("dense").alias("vector"))
-    wide = retrieval.dense_search(points, plain, k=retrieval.DENSE_TOP * 4)
-    keys = asked.select(F.col("_id").alias("query_id"), "filter_part", "filter_section")
-    narrow = points.select(F.col("point_id").alias("id"), "part_number", "section_number")
-    allowed = wide.join(keys, "query_id").join(narrow, "id").where((F.col("filter_part").isNull() | (F.col("part_number") == F.col("filter_part"))) & (F.col("filter_section").isNull() | (F.col("section_number") == F.col("filter_section"))))
-    dense = retrieval.ranked(allowed.select("query_id", "id", "score"), ["query_id"], "score", ["id"], retrieval.DENSE_TOP)
-    sparse = retrieval.sparse_search(retrieval.terms(points, "point_id"), retrieval.terms(plain, "query_id", "query").withColumnRenamed("id", "query_id"))
-    sparse = sparse.join(keys, "query_id").join(narrow, "id").where((F.col("filter_part").isNull() | (F.col("part_number") == F.col("filter_part"))) & (F.col("filter_section").isNull() | (F.col("section_number") == F.col("filter_section")))).select("query_id", "id", "score", "rank")
+    filters = {name: column for name, column in FILTERS.items() if column in planned.columns}
+    asked = planned.select("query_id", *filters.values(), F.posexplode("sub_questions").alias("sq", "query"))
+    asked = encode(asked.select(F.concat_ws("\u0001", "query_id", F.col("sq").cast("string")).alias("query_id"), "query", *filters.values()), "query")
+    plain = asked.withColumnRenamed("dense", "vector").withColumn("scope", retrieval.scope_of(filters))
+    kept, scope = retrieval.in_scopes(points, plain, filters), ["scope"]
+    dense = retrieval.dense_search(kept, plain, scope=scope)
+    sparse = retrieval.sparse_search(retrieval.terms(kept, "point_id", also=scope), retrieval.terms(plain, "query_id", "query", also=scope).withColumnRenamed("id", "query_id"), scope=scope)
     fused = retrieval.fuse(dense, sparse, top=PER_QUESTION)
     back = fused.select(F.split("query_id", "\u0001")[0].alias("query_id"), F.split("query_id", "\u0001")[1].cast("int").alias("sq"), "id", "fused_rank", "rrf_score")
     first = retrieval.keep_first(back, ["query_id", "id"], ["sq", "fused_rank"])

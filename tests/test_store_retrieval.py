@@ -163,6 +163,32 @@ def test_questions_are_planned_at_most_twice(spark):
     assert row.verification_passed and row.retry_count == 0 and row.answer and len(row.retrieved_sections) == 10
 
 
+def test_filters_of_a_question_apply_before_ranking(spark):
+    rows = [(f"a{i:03d}", f"milk fat number {i}", "101", "101.1") for i in range(400)] + [(f"b{i}", "an unlike text on cheese", "102", f"102.{i}") for i in range(3)] + [("n", "milk", None, None)]
+    points = providers.encode(spark.createDataFrame(rows, "point_id string, text string, part_number string, section_number string"), "text").withColumn("chunk_id", F.col("point_id"))
+    asked = spark.createDataFrame([("1", "milk fat in part 102"), ("2", "milk fat in section 102.1"), ("3", "milk fat in part 101 and section 102.1"), ("4", "milk fat"), ("5", "milk fat cheese")], "query_id string, query string")
+    planned = questions.plan_offline(asked)
+    found = {}
+    for r in questions.retrieve(planned, points).collect():
+        found.setdefault(r.query_id, set()).add(r.chunk_id)
+    assert found["1"] == {"b0", "b1", "b2"} and found["2"] == {"b1"} and "3" not in found and len(found["4"]) == len(found["5"]) == 10
+    alone = retrieval.search(points, providers.encode(asked, "query").withColumnRenamed("dense", "vector").where("query_id = '4'"), top_k=10)
+    assert {r.chunk_id for r in alone.collect()} == found["4"]
+
+
+def test_scopes_give_the_same_rows_on_every_path(spark, monkeypatch):
+    points = corpus(spark, 60).withColumn("scope", F.when(F.col("chunk_type") == "definition", "d").otherwise("p"))
+    asked = providers.encode(spark.createDataFrame([("1", "milk number 7 fat", "d"), ("2", "milk fat", "p"), ("3", "milk fat", "none")], "query_id string, query string, scope string"), "query").withColumnRenamed("dense", "vector")
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "id", "score", "rank").collect()))
+    both = lambda: (rows(retrieval.dense_search(points, asked, 5, scope=["scope"])), rows(retrieval.sparse_search(retrieval.terms(points, "point_id", also=["scope"]), retrieval.terms(asked, "query_id", "query", also=["scope"]).withColumnRenamed("id", "query_id"), 5, ["scope"])))
+    by_matrix = both()
+    alone = retrieval.dense_search(points.where("scope = 'd'"), asked.where("query_id = '1'"), 5)
+    assert [r for r in by_matrix[0] if r[0] == "1"] == rows(alone) and len(by_matrix[0]) == len(by_matrix[1]) == 10
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST_QUERIES", 1)
+    monkeypatch.setattr(retrieval, "MOST_CELLS", 0)
+    assert both() == by_matrix
+
+
 def test_analysis(spark):
     points = corpus(spark, 30).withColumns({"chunk_id": F.col("point_id"), "cfr_citation": F.lit("21 CFR § 101.1")})
     documents = spark.createDataFrame([("d1", "Low sodium milk. Net weight 5 oz. Hello there.", None), ("d2", None, "empty")], "document_id string, text string, error string")
