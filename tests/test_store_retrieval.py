@@ -189,6 +189,34 @@ def test_scopes_give_the_same_rows_on_every_path(spark, monkeypatch):
     assert both() == by_matrix
 
 
+def test_an_answer_uses_ranks_parts_references_definitions_and_conflicts(spark):
+    rows = [(f"p{i:02d}", f"milk fat label {'gold ' * (i == 19)}rule {i}", "paragraph", "1.1", None, [], None) for i in range(20)]
+    rows += [
+        ("start", "milk fat gold label shall be shown on standardized milk", "paragraph", "1.1", None, ["2.2", "9.9", None], ("next",)),
+        ("next", "until the jar is empty", "overflow", "1.1", None, None, (None,)),
+        ("deny", "milk fat gold label shall not be shown on standardized milk", "paragraph", "1.1", None, None, None),
+        ("def", "Standardized milk means a drink.", "definition", "3.3", "Standardized Milk", None, None),
+    ]
+    rows += [(f"ref{i}", f"sodium limit {i}", "paragraph", "2.2", None, None, None) for i in range(5)]
+    columns = "point_id string, text string, chunk_type string, section_number string, defines string, cross_references_internal array<string>, overflow_sequence struct<next_chunk_id: string>"
+    points = providers.encode(spark.createDataFrame(rows, columns), "text").withColumns({"chunk_id": F.col("point_id"), "cfr_citation": F.col("point_id"), "part_number": F.lit("1"), "section_preamble": F.lit(None).cast("string")})
+    asked = spark.createDataFrame([("1", "may a gold milk fat label be shown")], "query_id string, query string")
+    seen = []
+
+    def answer(rows):
+        seen.append(rows.select("context").first()[0])
+        return questions.answer_offline(rows)
+
+    (row,) = questions.ask(asked, points, questions.Steps(answer=answer)).collect()
+    assert set(row.retrieved_sections[:2]) == {"start", "deny"} and row.retrieved_sections[2] == "p19" and len(row.retrieved_sections) == 10
+    assert [(d.term, d.chunk_id) for d in row.definitions] == [("Standardized Milk", "def")] and len(row.cross_ref_chunks) == 3 and all(c.startswith("ref") for c in row.cross_ref_chunks)
+    assert row.conflicts_detected and {frozenset(c) for c in row.conflict_details} >= {frozenset(("start", "deny"))}
+    assert seen[0].startswith("• Standardized Milk: ") and "milk until the jar is empty" in seen[0] and "[X3] ref" in seen[0] and "[X4]" not in seen[0]
+    assert row.answer.startswith("milk fat gold label") and "[X1]" not in row.answer and row.verification_passed
+    (row,) = questions.ask(asked, points, questions.Steps(judge=lambda a, b: F.lit(None).cast("boolean"), define=lambda r, p: questions.resolve_terms(r, p).limit(0))).collect()
+    assert not row.conflicts_detected and row.conflict_details == row.definitions == []
+
+
 def test_analysis(spark):
     points = corpus(spark, 30).withColumns({"chunk_id": F.col("point_id"), "cfr_citation": F.lit("21 CFR § 101.1")})
     documents = spark.createDataFrame([("d1", "Low sodium milk. Net weight 5 oz. Hello there.", None), ("d2", None, "empty")], "document_id string, text string, error string")
