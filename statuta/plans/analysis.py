@@ -11,7 +11,7 @@ from statuta.functions import regulatory as R
 from statuta.operators import reports, retrieval
 from statuta.plans.providers import encode
 
-CLAIM_CHARS, TOP = 12_000, 5
+TOP = 5
 # Kinds of claim and words that show them, for the offline default.
 CLAIM_WORDS = {
     "allergen": r"allergen|contains (?:milk|soy|egg|nuts|wheat)",
@@ -27,13 +27,19 @@ CLAIM_WORDS = {
 }
 
 
+def whole(documents: DataFrame) -> DataFrame:
+    """(document_id, text) of the documents without error; the text is full_text where uploads have it."""
+    text = F.coalesce("full_text", "text") if "full_text" in documents.columns else F.col("text")
+    return documents.where("error is null").select("document_id", text.alias("text")).where("text is not null")
+
+
 def claims_offline(documents: DataFrame) -> DataFrame:
-    """(document_id, claim_no, claim_text, claim_type, location_hint): sentences that look like claims."""
+    """(document_id, claim_no, claim_text, claim_type, location_hint): sentences of the whole text that look like claims."""
     kind = F.lit("other")
     for name, pattern in reversed(CLAIM_WORDS.items()):
         kind = F.when(F.lower("claim_text").rlike(pattern), name).otherwise(kind)
-    parts = F.split(R.first_chars(F.col("text"), CLAIM_CHARS), R.SENTENCE_END)
-    rows = documents.where("error is null and text is not null").select("document_id", F.posexplode(parts).alias("claim_no", "claim_text"))
+    parts = F.split("text", R.SENTENCE_END)
+    rows = whole(documents).select("document_id", F.posexplode(parts).alias("claim_no", "claim_text"))
     return rows.withColumn("claim_type", kind).where("claim_type <> 'other'").withColumn("location_hint", F.concat(F.lit("sentence "), (F.col("claim_no") + 1).cast("string")))
 
 
@@ -65,9 +71,9 @@ def classify(mapped: DataFrame, judge: Callable[[Column, Column], Column]) -> Da
 
 
 def gaps(documents: DataFrame, required: dict[str, str], severity: str = "high") -> DataFrame:
-    """A finding per required element whose pattern a document's text lacks; after the claims' findings."""
+    """A finding per required element whose pattern a document's whole text lacks; after the claims' findings."""
     tests = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(name).alias("element"), F.lower("text").rlike(p).alias("there")) for i, (name, p) in enumerate(required.items())])
-    lost = documents.where("error is null and text is not null").select("document_id", F.explode(F.filter(tests, lambda t: ~t["there"])).alias("g"))
+    lost = whole(documents).select("document_id", F.explode(F.filter(tests, lambda t: ~t["there"])).alias("g"))
     text = lambda v: F.lit(v).cast("string")
     return lost.select(
         "document_id", (F.lit(1_000_000) + F.col("g.i")).alias("seq"), F.concat(F.lit("[Missing element] "), F.coalesce("g.element", F.lit("Unknown"))).alias("claim_text"), text("missing_required_element").alias("claim_type"),

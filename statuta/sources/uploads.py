@@ -40,11 +40,12 @@ READERS = {"docx": docx_text, "pdf": pdf_text}
 
 
 def read_uploads(files: DataFrame) -> DataFrame:
-    """(document_name, text, error) of files (document_name, content).
+    """(document_name, text, error, full_text) of files (document_name, content).
 
     The extension decides: docx and pdf are parsed, doc is refused, all else is text in UTF-8 or else
     Latin-1 without leaving the JVM. Empty files and texts that are blank or do not parse have an
-    error and null text; texts over 50,000 characters are cut there and get a notice.
+    error and null texts. full_text is whole, for rules; text is for prompts: over 50,000 characters
+    it is cut there and gets a notice.
     """
     kind = R.extension(F.col("document_name"))
     filled = files.select("document_name", "content", kind.alias("_kind"))
@@ -66,4 +67,4 @@ def read_uploads(files: DataFrame) -> DataFrame:
     rows = parsed.unionByName(plain).unionByName(old).withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
     rows = rows.withColumn("error", F.when(F.col("error").isNull() & (F.coalesce("text", F.lit("")) == ""), "no text").otherwise(F.col("error")))
     text = F.when(F.length("text") > MOST_CHARS, F.concat(R.first_chars(F.col("text"), MOST_CHARS), F.lit(NOTICE))).otherwise(F.nullif("text", F.lit("")))
-    return rows.select("document_name", text.alias("text"), "error")
+    return rows.select("document_name", text.alias("text"), "error", F.nullif("text", F.lit("")).alias("full_text"))

@@ -225,6 +225,15 @@ def test_analysis(spark):
     assert (got["d1"].total, got["d1"].critical, got["d1"].high, got["d1"].overall_status) == (2, 1, 1, "non_compliant") and got["d2"].overall_status == "error"
 
 
+def test_rules_read_whole_uploads(spark):
+    filler = "Plain words. " * 5_000
+    files = spark.createDataFrame([("a.txt", bytearray(f"{filler}Low sodium milk. Net weight 5 oz.".encode())), ("b.txt", bytearray(b" "))], "document_name string, content binary")
+    rows = uploads.read_uploads(files).withColumnRenamed("document_name", "document_id")
+    assert rows.where("document_id = 'a.txt'").select(F.length("full_text")).first()[0] > 65_000 and rows.where("full_text is null").count() == 1
+    assert {r.claim_type for r in analysis.claims_offline(rows).collect()} == {"nutrition_fact", "net_weight"}
+    assert [r.claim_text for r in analysis.gaps(rows, {"Net quantity": "net weight", "Ingredient list": "ingredients?:"}).collect()] == ["[Missing element] Ingredient list"]
+
+
 def test_chunk_file_scan_and_statistics(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"total_chunks": 2, "chunks": [{"chunk_id": "a"}, {"chunk_id": "b"}]}')
     assert chunk_files.read_chunks(spark, str(tmp_path / "c.json"), "chunk_id string").count() == 2
