@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -48,9 +47,10 @@ MARKUP = re.compile(r"</?(?:p|li|div|h\d|br|td|tr)\b[^>]*>")
 BROKEN = re.compile(r"(?<=[a-zá-ú])-\n(?=[a-zá-ú])")
 
 Lexicon = dict[str, tuple[int, float]]
-#: A sentence of at most so many words that stands in so many different texts (seen as 64 hashed
-#: groups of texts, so copies of one text count once) is an office phrase; this many at most are kept.
-PHRASE_WORDS, PHRASE_TEXTS, MOST_PHRASES = 12, 16, 100_000
+#: A sentence of at most so many words that stands in this share of the different texts (three at least,
+#: copies of one text count once) is an office phrase if their subjects differ: there are so many of
+#: them, and none has more than this share. This many phrases at most are kept.
+PHRASE_WORDS, PHRASE_SHARE, PHRASE_TEXTS, PHRASE_SUBJECTS, PHRASE_TOP, MOST_PHRASES = 12, 0.0015, 3, 3, 0.8, 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -140,10 +140,10 @@ def grow(documents: DataFrame, seed: Lexicon, size: int) -> tuple[Lexicon, set[i
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         seen: set[int] = set()
-        phrases: dict[int, int] = {}
+        phrases: dict[tuple[str, int, int], int] = {}
 
         def flush() -> pd.DataFrame:
-            rows = pd.DataFrame([(w, s, n, 0) for (w, s), n in counts.items()] + [(str(k), -1, 1, b - (1 << 64) if b >> 63 else b) for k, b in phrases.items()], columns=["word", "subject", "n", "texts"])
+            rows = pd.DataFrame([(w, s, n, 0, -1) for (w, s), n in counts.items()] + [(w, s, 1, t, m) for (w, s, t), m in phrases.items()], columns=["word", "subject", "n", "text", "main"])
             counts.clear()
             phrases.clear()
             return rows
@@ -152,11 +152,12 @@ def grow(documents: DataFrame, seed: Lexicon, size: int) -> tuple[Lexicon, set[i
             for text in batch["text"]:
                 labelled = [(about(found, shared.value, SEED_LEAST, SEED_MARGIN), found) for _, found in sentences(text)]
                 votes = Counter(s for s, _ in labelled if s >= 0)
-                group = 1 << (zlib.crc32(text.encode("utf-8", "replace")) & 63)
+                main, most = max(votes.items(), key=lambda x: (x[1], -x[0]), default=(-1, 0))
+                number = int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), signed=True)
+                phrases["", -2, number] = main
                 for _, found in labelled:
                     if (key := phrase_key(found)) is not None:
-                        phrases[key] = phrases.get(key, 0) | group
-                main, most = votes.most_common(1)[0] if votes else (-1, 0)
+                        phrases[str(key), -1, number] = main
                 if most < 3 or most < 0.7 * sum(votes.values()):
                     main = -1
                 for subject, found in labelled:
@@ -171,8 +172,12 @@ def grow(documents: DataFrame, seed: Lexicon, size: int) -> tuple[Lexicon, set[i
                 yield flush()
         yield flush()
 
-    counted = cut(documents.select("text").mapInPandas(count, "word string, subject int, n long, texts long").groupBy("word", "subject").agg(F.sum("n").alias("n"), F.bit_or("texts").alias("texts")), "lexicon")
-    common = counted.where((F.col("subject") == -1) & (F.bit_count("texts") >= PHRASE_TEXTS)).orderBy(F.desc(F.bit_count("texts")), "word").limit(MOST_PHRASES)
+    counted = cut(documents.select("text").mapInPandas(count, "word string, subject int, n long, text long, main int").groupBy("word", "subject", "text").agg(F.sum("n").alias("n"), F.max("main").alias("main")), "lexicon")
+    different = counted.where("subject = -2").count()
+    known = F.when(F.col("main") >= 0, F.col("n"))
+    common = counted.where("subject = -1").groupBy("word", "main").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("texts"), F.count(known).alias("subjects"), F.max(known).alias("top"), F.sum(known).alias("known"))
+    common = common.where((F.col("texts") >= max(PHRASE_TEXTS, PHRASE_SHARE * different)) & (F.col("subjects") >= min(PHRASE_SUBJECTS, size)) & (F.col("top") <= PHRASE_TOP * F.col("known")))
+    common = common.orderBy(F.desc("texts"), "word").limit(MOST_PHRASES)
     office = {int(r["word"]) for r in common.select("word").collect()}
     counted = counted.where("subject >= 0")
     totals = {i: 0.0 for i in range(size)} | {r["subject"]: float(r["n"]) for r in counted.where("word = ''").collect()}

@@ -89,6 +89,20 @@ def test_held_out_accuracy(spark):
     assert subjects.subject_areas(docs(spark, rows[:5]), labelled.limit(0), names.limit(0)).count() == 0
 
 
+def test_office_phrases_are_shares_of_the_texts_whatever_their_subject(spark):
+    choose, seed = random.Random(12), {w: (s, 1.0 + i * 1e-9) for s, words in enumerate(SUBJECTS.values()) for i, w in enumerate(words)}
+    names, office, local = list(SUBJECTS), "Please quote the number in replies.", "Every farm1 is kept by farm2 alone."
+    for n in (400, 8_000):
+        rows = []
+        for i in range(n):
+            subject = names[i % 4]
+            text = " ".join(sentence(choose, subject) for _ in range(4))
+            rows.append((i, f"{text} {office}" if i % 100 in (0, 1, 2, 3) else f"{text} {local}" if subject == "farm" and i % 20 == 5 else text, None, None))
+        rows += [(n + i, sentence(random.Random(1), "law") + " A copied text is one text only.", None, None) for i in range(n // 50)]
+        _, found = subjects.grow(docs(spark, rows), seed, 4)
+        assert found == {subjects.phrase_key(subjects.words_of(office))}
+
+
 def test_accuracies_are_learned():
     """A labelling function that votes at random must not outweigh two that agree."""
     choose, rows = random.Random(10), []
