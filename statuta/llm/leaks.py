@@ -43,14 +43,17 @@ def eval_texts(items: DataFrame, fields: list[str]) -> list[tuple[str, str, list
 class Scanner:
     """The automaton with what is needed to extend its hits."""
 
-    def __init__(self, texts: list[tuple[str, str, list[int]]], run: int) -> None:
+    def __init__(self, texts: list[tuple[str, str, list[int]]], run: int, short: bool = False) -> None:
         self.run, self.block = run, max(1, run // 2)
         self.words = [WORD.findall(text.lower()) for _, text, _ in texts]
+        self.least = [min(run, len(words)) if short else run for words in self.words]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, words in enumerate(self.words):
             if len(words) >= run:
                 for at in range(0, len(words) - self.block + 1, self.block):
                     places[" " + " ".join(words[at : at + self.block]) + " "].append((n, at))
+            elif words and short:
+                places[" " + " ".join(words) + " "].append((n, 0))
         self.automaton = ahocorasick.Automaton()
         for pattern, where in places.items():
             self.automaton.add_word(pattern, (len(pattern), where))
@@ -87,23 +90,23 @@ class Scanner:
                 while c < len(words) and d < len(other) and words[c] == other[d]:
                     c, d = c + 1, d + 1
                 reached[n, first - at] = c
-                if c - a >= self.run:
+                if c - a >= self.least[n]:
                     found.append((n, b, spans[a][0], spans[c - 1][1]))
         return found
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("passage",), run: int = RUN) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("passage",), run: int = RUN, short: bool = False) -> DataFrame:
     """(doc_id, item_id, field, start_char, end_char): every maximal run of at least ``run`` words.
 
     Words are longest runs of letters and digits, lower-cased; nothing else between them counts.
-    Evaluation texts of fewer words cannot leak. Items that share a text are all reported. Null,
+    Evaluation texts of fewer words cannot leak, or with ``short`` do where all their words stand. Items that share a text are all reported. Null,
     empty and wordless texts have no leaks; long ones are scanned whole; repeated documents give
     repeated rows; other columns are ignored.
     """
     texts = documents.sparkSession.sparkContext.broadcast(eval_texts(items, list(fields)))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(texts.value, run)
+        scanner = Scanner(texts.value, run, short)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):

@@ -49,6 +49,15 @@ def test_offsets_questions_and_odd_letters(spark):
     assert leaks.find_leaks(docs(spark, []), items).count() == 0 and leaks.find_leaks(docs(spark, [(1, text, None, None)]), items.limit(0)).count() == 0
 
 
+def test_short_questions_and_answers_count_whole(spark):
+    items = spark.createDataFrame([(1, "p " * 12, "what is the fat of milk", "At least 3 %"), (2, None, "", "...")], ITEMS)
+    texts = ["He asked: What is the FAT of milk? At least (3) percent.", "what is the fat of", "what is the fat of soy milk; at most 3", "at least 3 at least 3"]
+    rows = docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    found = sorted((r.doc_id, r.field, texts[r.doc_id][r.start_char : r.end_char]) for r in leaks.find_leaks(rows, items, ("passage", "question", "answer"), short=True).collect())
+    assert found == [(0, "answer", "At least (3"), (0, "question", "What is the FAT of milk"), (3, "answer", "at least 3"), (3, "answer", "at least 3")]
+    assert leaks.find_leaks(rows, items, ("passage", "question", "answer")).count() == 0
+
+
 SUBJECTS = {s: [f"{s}{i}" for i in range(40)] for s in ("law", "farm", "code", "tax")}
 GENERIC = [f"plain{i}" for i in range(60)]
 
