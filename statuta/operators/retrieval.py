@@ -6,17 +6,21 @@ Everything works on a batch of queries keyed by query_id, so many questions cost
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from statuta.runtime import cut
 
 #: Stated defaults of a search.
 DENSE_TOP, SPARSE_TOP, FUSED_TOP, RERANK_TOP, RRF_K, MOST_HOPS = 60, 60, 20, 10, 60, 5
 FILTERS = ("part_number", "chapter_number", "subpart_letter", "section_number", "chunk_type", "source_file")
-#: Queries are broadcast only up to so many; larger batches are joined by shuffling.
+#: Queries are broadcast in blocks of so many; each block of a larger batch is one pass over the points.
 MOST_BROADCAST_QUERIES = 20_000
 #: Query terms times queries up to which a sparse search broadcasts the queries (64 MB).
 MOST_CELLS = 8_000_000
@@ -34,14 +38,6 @@ def predicate(filters: dict[str, str | None]) -> Column:
     return found
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
 def ranked(scored: DataFrame, key: list[str], score: str, tie: list[str], k: int) -> DataFrame:
     """The k rows with the largest score per key, with ``rank`` from 1; ties by ``tie``."""
     order = Window.partitionBy(*key).orderBy(F.desc(score), *tie)
@@ -78,13 +74,15 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int = DENSE_TOP, id_c
     """
     asked = queries.where(F.col("query_id").isNotNull() & F.col("vector").isNotNull())
     known, scope = points.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull()), scope or []
+    known, asked = known.select(F.col(id_column).alias("id"), F.col(vector).alias("v"), *scope), asked.select("query_id", "vector", *scope)
     if asked.limit(MOST_BROADCAST_QUERIES + 1).count() <= MOST_BROADCAST_QUERIES:
-        scored = _partial_cosines(known.select(F.col(id_column).alias("id"), F.col(vector).alias("v"), *scope), asked.select("query_id", "vector", *scope), k, scope)
+        scored = _partial_cosines(known, asked.collect(), asked.schema, k, scope)
     else:
-        left = known.select(F.col(id_column).alias("id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_nv"), F.size(vector).alias("_n"), *scope).where("_nv > 0")
-        right = asked.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_nq"), F.size("vector").alias("_n"), *scope).where("_nq > 0")
-        cosine = dot(F.col("_v"), F.col("_q")) / (F.col("_nv") * F.col("_nq"))
-        scored = left.join(right, ["_n", *scope]).select("query_id", "id", F.round(cosine, 9).alias("score"))
+        rows, scored = asked.toLocalIterator(), None
+        while block := list(islice(rows, MOST_BROADCAST_QUERIES)):
+            part = _partial_cosines(known, block, asked.schema, k, scope)
+            part = cut(ranked(part, ["query_id"], "score", ["id"], k).drop("rank"), "block")
+            scored = part if scored is None else scored.unionByName(part)
     return ranked(scored, ["query_id"], "score", ["id"], k)
 
 
@@ -100,15 +98,15 @@ def _by_scope(batch: pa.RecordBatch, scope: list[str]) -> Iterator[tuple[tuple,
         yield key, batch.take(pa.array(at))
 
 
-def _partial_cosines(points: DataFrame, asked: DataFrame, k: int, scope: list[str]) -> DataFrame:
+def _partial_cosines(points: DataFrame, asked: list[Row], kinds: StructType, k: int, scope: list[str]) -> DataFrame:
     """(query_id, id, score): the k best of every batch of points per query, as products of matrices."""
     by_scope: dict[tuple, dict[int, list]] = {}
-    for row in asked.collect():  # at most MOST_BROADCAST_QUERIES rows
+    for row in asked:  # at most MOST_BROADCAST_QUERIES rows
         q = np.array([np.nan if x is None else x for x in row["vector"]], float)
         if len(q) and np.isfinite(q).all() and q.any():
             by_scope.setdefault(tuple(row[c] for c in scope), {}).setdefault(len(q), []).append((row["query_id"], q / np.linalg.norm(q)))
     shared = points.sparkSession.sparkContext.broadcast({s: {w: ([n for n, _ in rows], np.stack([q for _, q in rows])) for w, rows in by_width.items()} for s, by_width in by_scope.items()})
-    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, score double"
+    schema = f"query_id {kinds['query_id'].dataType.simpleString()}, id {points.schema['id'].dataType.simpleString()}, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, batch in (x for whole in batches for i in range(0, whole.num_rows, 1024) for x in _by_scope(whole.slice(i, 1024), scope)):

@@ -217,6 +217,18 @@ def test_an_answer_uses_ranks_parts_references_definitions_and_conflicts(spark):
     assert not row.conflicts_detected and row.conflict_details == row.definitions == []
 
 
+def test_blocks_of_queries_give_the_same_neighbours(spark, monkeypatch):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(40)] + [(100, [nan, 1.0, 1.0]), (101, [inf, 1.0, 1.0]), (102, [0.0] * 3), (103, [1.0, 2.0]), (104, [1.0, None, 2.0]), (105, None), (106, [])]
+    points = spark.createDataFrame(rows, "point_id long, dense array<double>")
+    asked = points.select(F.col("point_id").alias("query_id"), F.col("dense").alias("vector"))
+    asked = asked.unionByName(asked.where("query_id = 3"))  # a repeated query ranks once, in whatever blocks
+    rows_of = lambda: sorted(map(tuple, retrieval.dense_search(points, asked, 5).collect()))
+    one = rows_of()
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST_QUERIES", 7)
+    assert rows_of() == one and {r[1] for r in one} <= {*range(40), 103} and {r[0] for r in one} == {*range(40), 103}
+
+
 def test_analysis(spark):
     points = corpus(spark, 30).withColumns({"chunk_id": F.col("point_id"), "cfr_citation": F.lit("21 CFR § 101.1")})
     documents = spark.createDataFrame([("d1", "Low sodium milk. Net weight 5 oz. Hello there.", None), ("d2", None, "empty")], "document_id string, text string, error string")
