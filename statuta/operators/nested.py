@@ -1,8 +1,8 @@
 """Nested records into flat tables that keep parent and child links (problem 1).
 
 A bottom-up tree automaton gives every JSON value a state from its own keys and the states of its
-children. The states are the structural variants: each is routed to the table of its type, all
-tables share the supertype's columns (file_id, node_key, parent_key), and a parent's key is always
+children. The states are the structural variants, a column of every row; a node's level chooses its
+typed table. All tables share the supertype's columns (file_id, node_key, parent_key), and a parent's key is always
 the key of a row of the parent's table or the empty string.
 """
 
@@ -22,6 +22,8 @@ SCHEMA = (
     "file_id long, variant string, level string, node_key string, parent_key string, own_key string, name string, "
     "chunk_type string, cfr_citation string, text string, value string, unit string, attributes string"
 )
+#: Fields of a chunk with a place of their own; all others are kept in attributes, as JSON.
+TYPED = ("chunk_id", "chunk_type", "cfr_citation", "text", "hierarchy", "metrics")
 COLUMNS = [field.split()[0] for field in SCHEMA.split(", ")]
 
 
@@ -139,7 +141,12 @@ def flatten(payload: str | None) -> Iterator[tuple]:
         if (key := value.get("chunk_id")) is None or not str(key).strip():
             return
         text = value.get("text")
-        own, rows = node(state, "chunk", str(key), path, chunk_type=_plain(value.get("chunk_type")), cfr_citation=_plain(value.get("cfr_citation")), text=text if isinstance(text, str) else None)
+        rest = {k: v for k, v in value.items() if k not in TYPED and v is not None}
+        if text is not None and not isinstance(text, str):
+            rest["text"] = text
+        if (beside := {k: v for k, v in hierarchy.items() if k not in LEVELS and v is not None} if isinstance(hierarchy, dict) else hierarchy or value.get("hierarchy")):
+            rest["hierarchy"] = beside
+        own, rows = node(state, "chunk", str(key), path, chunk_type=_plain(value.get("chunk_type")), cfr_citation=_plain(value.get("cfr_citation")), text=text if isinstance(text, str) else None, attributes=json.dumps(rest, ensure_ascii=False) if rest else None)
         yield from rows
         metrics = value.get("metrics")
         for at, metric in enumerate(metrics if isinstance(metrics, list) else [metrics], 1):
@@ -180,6 +187,6 @@ def subtype_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     """The typed tables: one per level, and chunk and metric, each with the common keys."""
     common = ["file_id", "node_key", "parent_key", "variant"]
     tables = {level: nodes.where(F.col("level") == level).select(*common, F.col("own_key").alias(LEVELS[level]), "name") for level in LEVELS}
-    tables["chunk"] = nodes.where("level = 'chunk'").select(*common, F.col("own_key").alias("chunk_id"), "chunk_type", "cfr_citation", "text")
+    tables["chunk"] = nodes.where("level = 'chunk'").select(*common, F.col("own_key").alias("chunk_id"), "chunk_type", "cfr_citation", "text", "attributes")
     tables["metric"] = nodes.where("level = 'metric'").select(*common, F.col("own_key").cast("int").alias("position"), "value", "unit", "attributes")
     return tables

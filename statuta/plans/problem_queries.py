@@ -17,6 +17,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_nodes(spark, folder).select("file_id", "node_key", "parent_key")
 
 
+def _subtype(table: str):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        return nested.subtype_tables(p1_nodes(spark, folder))[table]
+
+    query.__name__ = f"p1_{table}s"
+    return query
+
+
 def p1_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return nested.subtype_tables(p1_nodes(spark, folder))["metric"]
 
@@ -51,7 +59,8 @@ def p6_summary(spark: SparkSession, folder: str) -> DataFrame:
     return p6_found(spark, folder).groupBy("snapshot_no", "change_kind").agg(F.count("*").alias("n_chunks"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_metrics, p1_variants, p3_found, p3_report, p6_found, p6_summary)}
+P1_TABLES = [_subtype(table) for table in (*nested.LEVELS, "chunk")]
+QUERIES = {f.__name__: f for f in (p1_found, p1_metrics, p1_variants, *P1_TABLES, p3_found, p3_report, p6_found, p6_summary)}
 
 _TEXT = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x{{00a0}}]+', ' ', 'g'))"
 _REFS = r"""

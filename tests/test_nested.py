@@ -37,6 +37,19 @@ def test_what_does_not_parse_has_no_nodes():
         assert nodes(payload) == set()
 
 
+def test_no_field_of_a_chunk_is_lost(spark):
+    chunk = {"chunk_id": "a", "text": "t", "cross_references_internal": ["1.1", "1.2"], "defines": None, "extra": {"x": 1}, "hierarchy": {"section": {"number": "1"}, "paragraph": ["a", "1"]}, "metrics": [{"value": 1}]}
+    files = spark.createDataFrame([(1, json.dumps({"chunks": [chunk, {"chunk_id": "b", "text": ["é"], "hierarchy": "{broken"}, {"chunk_id": "c", "text": "u"}]}))], "file_id long, payload string")
+    got = {r.chunk_id: r.attributes for r in nested.subtype_tables(nested.flatten_nodes(files))["chunk"].collect()}
+    assert {k: v and json.loads(v) for k, v in got.items()} == {"a": {"cross_references_internal": ["1.1", "1.2"], "extra": {"x": 1}, "hierarchy": {"paragraph": ["a", "1"]}}, "b": {"text": ["é"], "hierarchy": "{broken"}, "c": None}
+
+
+def test_every_subtype_table_is_registered():
+    import __spark_entry__ as driver
+
+    assert {f"p1_{table}s" for table in (*nested.LEVELS, "chunk", "metric")} <= set(driver.queries())
+
+
 def test_tables_are_distinct_and_linked(spark):
     rows = [(1, json.dumps(TREE), "x"), (1, json.dumps(TREE), "y"), (2, json.dumps(FLAT), None), (3, None, None), (None, json.dumps(TREE), None), (4, json.dumps([{"chunk_id": "z" * 10, "text": "long " * 200_000}]), None)]
     files = spark.createDataFrame(rows, "file_id long, payload string, level string")
