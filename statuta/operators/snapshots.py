@@ -33,7 +33,8 @@ def assign_ordinals(keys: DataFrame, column: str, known: DataFrame | None = None
     base = 0
     if known is not None:
         new = new.join(known, column, "left_anti")
-        base = (known.agg(F.max("ordinal")).first()[0] or -1) + 1
+        last = known.agg(F.max("ordinal")).first()[0]
+        base = 0 if last is None else last + 1
     ranged = new.repartitionByRange(column).sortWithinPartitions(column)
     placed = cut(ranged.select(column, F.monotonically_increasing_id().alias("_at")), "ordinals")
     placed = placed.select(column, F.shiftright("_at", 33).alias("_part"), F.expr("_at & 8589934591").alias("_row"))

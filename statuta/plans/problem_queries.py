@@ -9,29 +9,26 @@ from statuta.operators import nested, orphans, snapshots
 from statuta.runtime import read
 
 
-def p1_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.flatten_nodes(read(spark, folder, "chunk_files"))
+def _p1_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return nested.subtype_tables(nested.flatten_nodes(read(spark, folder, "chunk_files")))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p1_nodes(spark, folder).select("file_id", "node_key", "parent_key")
+    """The keys of all typed tables."""
+    return nested.common(_p1_tables(spark, folder)).select("file_id", "node_key", "parent_key")
 
 
-def _subtype(table: str):
+def _level(level: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return nested.subtype_tables(p1_nodes(spark, folder))[table]
+        return nested.level_table(_p1_tables(spark, folder), level)
 
-    query.__name__ = f"p1_{table}s"
+    query.__name__ = f"p1_{level}s"
     return query
 
 
-def p1_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.subtype_tables(p1_nodes(spark, folder))["metric"]
-
-
 def p1_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes per structural variant and level."""
-    return p1_nodes(spark, folder).groupBy("variant", "level").agg(F.count("*").alias("n_nodes"))
+    return nested.common(_p1_tables(spark, folder)).groupBy("variant", "level").agg(F.count("*").alias("n_nodes"))
 
 
 def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, orphans.Table]]:
@@ -59,8 +56,8 @@ def p6_summary(spark: SparkSession, folder: str) -> DataFrame:
     return p6_found(spark, folder).groupBy("snapshot_no", "change_kind").agg(F.count("*").alias("n_chunks"))
 
 
-P1_TABLES = [_subtype(table) for table in (*nested.LEVELS, "chunk")]
-QUERIES = {f.__name__: f for f in (p1_found, p1_metrics, p1_variants, *P1_TABLES, p3_found, p3_report, p6_found, p6_summary)}
+P1_TABLES = [_level(level) for level in (*nested.LEVELS, "chunk", "metric")]
+QUERIES = {f.__name__: f for f in (p1_found, p1_variants, *P1_TABLES, p3_found, p3_report, p6_found, p6_summary)}
 
 _TEXT = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x{{00a0}}]+', ' ', 'g'))"
 _REFS = r"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,34 +30,40 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back.
+def cut(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder, in a folder per value of ``by``, and read it back.
 
     Later stages restart from the table instead of recomputing, also when executors are lost.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/statuta/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that ``cut`` has written."""
-    while _written:
-        _, path = _written.pop()
+def release(keep: int = 0) -> None:
+    """Delete the tables that ``cut`` has written, but for the first ``keep``."""
+    while len(_written) > keep:
+        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone
-            return
+        except Exception:  # its session may be gone
+            continue
 
 
-@atexit.register
-def _release_at_exit() -> None:
-    if _written:
-        release(_written[-1][0])
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes at its end the tables that were cut within: for work whose result is written before."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        release(before)
+
+
+atexit.register(release)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

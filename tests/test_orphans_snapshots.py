@@ -84,6 +84,8 @@ def test_ordinals_persist(spark):
     assert {r.k: r.ordinal for r in first.collect()} == {"a": 0, "b": 1, "c": 2}
     again = snapshots.assign_ordinals(keys("0", "b", "d"), "k", first)
     assert {r.k: r.ordinal for r in again.collect()} == {"a": 0, "b": 1, "c": 2, "0": 3, "d": 4}
+    one = snapshots.assign_ordinals(keys("b"), "k", snapshots.assign_ordinals(keys("a"), "k"))
+    assert {r.k: r.ordinal for r in one.collect()} == {"a": 0, "b": 1}
     placed = again.select(F.lit(1).alias("snapshot"), "ordinal")
     (row,) = snapshots.presence_bitmaps(placed).collect()
     assert row.keys == 5 and snapshots.unpack(bytes(row.bitmap))[:6].tolist() == [True] * 5 + [False]
