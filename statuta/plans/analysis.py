@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions import regulatory as R
 from statuta.operators import reports, retrieval
-from statuta.plans.providers import encode
+from statuta.plans.providers import encode, overlap_score
 
 TOP = 5
 # Kinds of claim and words that show them, for the offline default.
@@ -43,13 +43,16 @@ def claims_offline(documents: DataFrame) -> DataFrame:
     return rows.withColumn("claim_type", kind).where("claim_type <> 'other'").withColumn("location_hint", F.concat(F.lit("sentence "), (F.col("claim_no") + 1).cast("string")))
 
 
-def map_claims(claims: DataFrame, points: DataFrame, top: int = TOP) -> DataFrame:
-    """Claims with top_chunks and mapping_confidence; empty claims are left out, all claims go in one job."""
+def map_claims(claims: DataFrame, points: DataFrame, top: int = TOP, scorer: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
+    """Claims with top_chunks, reranked, and mapping_confidence; empty claims are left out, all claims go in one job.
+
+    mapping_confidence is the reranker's score of the first chunk, else its fused score, else 0.
+    """
     asked = claims.where(F.length("claim_text") > 0)
     key = F.concat_ws("\u0001", F.col("document_id").cast("string"), F.col("claim_no").cast("string"))
     text = F.when(F.length("claim_type") > 0, F.concat(F.col("claim_type"), F.lit(": "), F.col("claim_text"))).otherwise(F.col("claim_text"))
     queries = encode(asked.select(key.alias("query_id"), text.alias("query")), "query").withColumnRenamed("dense", "vector")
-    hits = retrieval.search(points, queries, top_k=top)
+    hits = retrieval.search(points, queries, top_k=top, use_reranker=True, scorer=scorer)
     lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "cfr_citation", "text", F.col("rrf_score").alias("score"), "reranker_score"))).alias("top_chunks"))
     first = F.try_element_at("top_chunks", F.lit(1))
     return asked.withColumn("query_id", key).join(lists, "query_id", "left").withColumn("mapping_confidence", F.coalesce(first["reranker_score"], first["score"], F.lit(0.0))).drop("query_id")

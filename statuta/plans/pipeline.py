@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from statuta.operators.chunking import chunks
 from statuta.operators.store import PointStore
 from statuta.plans.providers import encode
-from statuta.sources.chunk_files import exists, write_chunks
+from statuta.runtime import exists
+from statuta.sources.chunk_files import write_chunks
 from statuta.sources.regulation_xml import read_regulations
 
 

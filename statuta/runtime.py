@@ -30,15 +30,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted with the tables of ``cut``."""
+    path = f"{shared_folder(spark)}/statuta/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def cut(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder, in a folder per value of ``by``, and read it back.
 
     Later stages restart from the table instead of recomputing, also when executors are lost.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/statuta/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, tag)
     (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

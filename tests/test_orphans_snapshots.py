@@ -86,6 +86,24 @@ def test_ordinals_persist(spark):
     assert {r.k: r.ordinal for r in again.collect()} == {"a": 0, "b": 1, "c": 2, "0": 3, "d": 4}
     one = snapshots.assign_ordinals(keys("b"), "k", snapshots.assign_ordinals(keys("a"), "k"))
     assert {r.k: r.ordinal for r in one.collect()} == {"a": 0, "b": 1}
-    placed = again.select(F.lit(1).alias("snapshot"), "ordinal")
-    (row,) = snapshots.presence_bitmaps(placed).collect()
+    placed = again.select(F.lit(1).alias("snapshot"), "ordinal", F.col("ordinal").alias("print"))
+    (row,) = snapshots.encode_blocks(placed).collect()
     assert row.keys == 5 and snapshots.unpack(bytes(row.bitmap))[:6].tolist() == [True] * 5 + [False]
+    assert [(k, at.tolist()) for k, at in snapshots.block_changes((row.bitmap, row.prints), None)] == [("added", []), ("removed", [0, 1, 2, 3, 4]), ("changed", [])]
+
+
+def test_an_index_compares_new_deliveries_with_stored_ones(spark, tmp_path):
+    rows = lambda *xs: spark.createDataFrame([(no, k, t, DAY) for no, k, t in xs], "snapshot_no int, chunk_id string, text string, loaded_at timestamp")
+    index = lambda: snapshots.SnapshotIndex(spark, f"file://{tmp_path}/index")
+    got = lambda df: sorted(map(tuple, snapshots.snapshot_changes(df, "chunk_id", ["text"], index=index()).collect()))
+    assert got(rows((1, "a", "x"), (1, "b", "y"), (1, "b", "y"))) == []
+    assert got(rows((1, "zz", "not read again"), (3, "a", "x2"), (3, "c", "z"))) == [(3, "a", "changed"), (3, "b", "removed"), (3, "c", "added")]
+    assert got(rows((3, "a", "other"), (4, "b", "y"), (4, "c", "z"), (4, None, "n"), (None, "q", "n"))) == [(4, "a", "removed"), (4, "b", "added")]
+    assert got(rows((4, "b", "y"))) == [] and sorted(map(tuple, index().changes().collect()))[-1] == (4, "b", "added")
+    assert {r._key: r.ordinal for r in index()._table("ordinals").collect()} == {"a": 0, "b": 1, "c": 2}
+    try:
+        got(rows((2, "a", "late")))
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("a late delivery must be refused")
