@@ -1,10 +1,11 @@
 """Most similar vectors for every vector (problem 2), by multiprobe cross-polytope hashing.
 
 Unit vectors go through pseudo-rotations (three rounds of random signs and a fast Hadamard
-transform); a hash value is the nearest signed axis. A table's bucket is one hash value,
-and buckets that are crowded are refined by further values, so dense regions do not become one
-task and sparse ones keep their neighbours. Each vector is put into its bucket and probes the buckets behind its least certain axes; in
-every bucket all cosines are computed exactly, in double precision.
+transform); a hash value is the nearest signed axis. All vectors are one region; a region that is
+crowded is refined by the next hash value, so dense regions do not become one task and sparse ones
+keep their neighbours. Each vector goes to its own region and probes those behind its least certain
+axes. In every region all vectors meet: candidates by products in single precision with a margin,
+then exact cosines in double precision.
 """
 
 from __future__ import annotations
@@ -20,12 +21,18 @@ from pyspark.sql import functions as F
 from statuta.llm.runs import sorted_runs
 from statuta.runtime import cut, salt
 
-TABLES, PROBES, LEVELS = 5, 2, (1, 2, 3, 4)
-#: Rows of a bucket of so many hash values beyond which it is refined, and slots of the sketch that
-#: counts them (the most that can reach the driver, whatever the number of vectors).
-CROWDED, SLOTS = {1: 256, 2: 4096, 3: 4096}, 1 << 20
-#: Rows of a bucket that are compared with all others at once.
+#: Tables, and regions that each vector goes to in a table. At an equal number of copies one table with more
+#: probes found more neighbours than several with fewer (see README).
+TABLES, PLACES = 1, 4
+#: Axes of the hash value that refines a region of each depth: 128 parts of 64-wide vectors, then 16 of each.
+AXES = (1 << 30, 8, 8, 8)
+#: Vectors at home in a region beyond which it is refined, and rows (guests too) beyond which one that is not
+#: refined any more is split into blocks that meet each other.
+CROWDED, REGION = 2048, 16_384
+#: Rows of a region that are compared with all others at once.
 BLOCK = 1024
+#: More than the error of a product of unit vectors in single precision.
+MARGIN = 2e-6
 WAYS = 8
 
 
@@ -51,48 +58,47 @@ def rotations(wide: int, count: int, seed: int) -> np.ndarray:
 
 
 class Hasher:
-    """Codes of unit vectors: the nearest signed axis, the second nearest, and how far apart they are."""
+    """Regions of unit vectors in the tree of hash values."""
 
     def __init__(self, wide: int, seed: int = 7) -> None:
         self.padded = 1 << (wide - 1).bit_length()
-        self.depth = LEVELS[-1]
-        self.matrices = rotations(self.padded, TABLES * self.depth, seed).reshape(TABLES, self.depth, self.padded, self.padded)
+        self.axes = [min(a, self.padded) for a in AXES]
+        self.radix = 2 * self.padded
+        self.matrices = rotations(self.padded, TABLES * len(AXES), seed).reshape(TABLES, len(AXES), self.padded, self.padded)
 
-    def codes(self, unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def values(self, unit: np.ndarray, table: int, depth: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest signed axes of every vector, nearest first, and how much farther each is than the first."""
         if unit.shape[1] < self.padded:
             unit = np.pad(unit, ((0, 0), (0, self.padded - unit.shape[1])))
-        first, second, margin = (np.empty((len(unit), self.depth), t) for t in (np.int64, np.int64, float))
-        at = np.arange(len(unit))
-        for j in range(self.depth):
-            y = unit @ self.matrices[table, j]
-            size = np.abs(y)
-            a = size.argmax(1)
-            top = size[at, a]
-            size[at, a] = -1
-            b = size.argmax(1)
-            first[:, j], second[:, j] = 2 * a + (y[at, a] < 0), 2 * b + (y[at, b] < 0)
-            margin[:, j] = top - size[at, b]
-        return first, second, margin
-
-    def key(self, table: int, codes: np.ndarray, depth: int) -> np.ndarray:
-        """A whole number for the first ``depth`` values, different for every table and depth."""
-        key = np.full(len(codes), table * 8 + depth, np.int64)
-        for j in range(depth):
-            key = key * (2 * self.padded) + codes[:, j]
-        return key
-
-    def keys(self, table: int, codes: np.ndarray, crowded: dict[int, np.ndarray]) -> np.ndarray:
-        """The key of each row's bucket, refined as long as the bucket is crowded."""
-        key = self.key(table, codes, LEVELS[0])
-        for depth, finer in zip(LEVELS, LEVELS[1:]):
-            full = np.isin(slots(self.key(table, codes, depth)), crowded[depth]) & (key == self.key(table, codes, depth))
-            key[full] = self.key(table, codes, finer)[full]
-        return key
-
-
-def slots(keys: np.ndarray) -> np.ndarray:
-    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(44)).astype(np.int64)
+        y = unit @ self.matrices[table, depth][:, : self.axes[depth]]
+        size = np.abs(y)
+        near = np.argsort(-size, axis=1, kind="stable")[:, :most]
+        size = np.take_along_axis(size, near, 1)
+        return 2 * near + (np.take_along_axis(y, near, 1) < 0), size[:, :1] - size
+
+    def homes(self, unit: np.ndarray, table: int) -> Iterator[np.ndarray]:
+        """Each vector's own region at every depth that may be refined, the root first."""
+        key = np.full(len(unit), table + 1, np.int64)
+        for depth in range(len(AXES)):
+            yield key
+            key = key * self.radix + self.values(unit, table, depth, 1)[0][:, 0]
+
+    def places(self, unit: np.ndarray, table: int, crowded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, keys) of the unrefined regions each vector goes to: its own and the least far others."""
+        n = len(unit)
+        key, far = np.full((n, 1), table + 1, np.int64), np.zeros((n, 1))
+        for depth in range(len(AXES)):
+            full = np.isin(key, crowded)
+            if not full.any():
+                break
+            code, more = self.values(unit, table, depth, PLACES)
+            finer = np.where(full[:, :, None], key[:, :, None] * self.radix + code[:, None, :], key[:, :, None])
+            more = np.where(full[:, :, None], more[:, None, :], np.where(np.arange(code.shape[1]) == 0, 0.0, np.inf))
+            cost = (far[:, :, None] + more).reshape(n, -1)
+            best = np.argsort(cost, axis=1, kind="stable")[:, :PLACES]
+            key, far = np.take_along_axis(finer.reshape(n, -1), best, 1), np.take_along_axis(cost, best, 1)
+        rows, column = np.nonzero(np.isfinite(far))
+        return rows, key[rows, column]
 
 
 def _vectors(batch: pa.RecordBatch) -> np.ndarray:
@@ -107,17 +113,56 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def usable(vector: Column, wide: int) -> Column:
     """Exactly ``wide`` finite numbers, not all zero."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(vector) == wide) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+    low, high, endless = F.array_min(vector), F.array_max(vector), F.lit(float("inf"))  # not a number counts as the largest
+    return F.coalesce((F.size(vector) == wide) & F.forall(vector, lambda x: x.isNotNull()) & (low > -endless) & (high < endless) & ((low != 0) | (high != 0)), F.lit(False))
 
 
-def _best(similar: np.ndarray, most: int) -> np.ndarray:
-    """Columns of each row's ``most`` largest values, of equals the first ones, unordered."""
-    wide = similar.shape[-1]
-    if wide <= most:
-        return np.broadcast_to(np.arange(wide), similar.shape)
-    rank = np.rint(similar * 1e9).astype(np.int64) * (1 << 31) - np.arange(wide)
-    return np.argpartition(rank, wide - most, axis=-1)[..., wide - most :]
+def _counted(vectors: DataFrame, keys_of, over: int) -> dict[int, int]:
+    """Exact numbers of rows per key, of those with more than ``over``; summed within each task first.
+
+    There are as many keys as regions of the tree at most (see ``AXES``), whatever the number of vectors.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                new, times = np.unique(keys_of(_unit(_vectors(batch))), return_counts=True)
+                keys, at = np.unique(np.r_[keys, new], return_inverse=True)
+                n = np.bincount(at, np.r_[n, times], len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+
+    counts = vectors.select("vec").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return {r["key"]: r["n"] for r in counts.where(F.col("n") > over).collect()}
+
+
+def _closest(asked: np.ndarray, names: np.ndarray, known: np.ndarray, others: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(cid, near, similarity): of each of ``asked`` the k most similar of ``known`` with another cid."""
+    rough, wide = known.astype(np.float32), 32 if len(known) >= 64 * (k + 1) else 1
+    groups = -(-len(known) // wide)
+    for lo in range(0, len(asked), BLOCK):
+        part, own = asked[lo : lo + BLOCK], names[lo : lo + BLOCK]
+        similar = np.full((len(part), groups * wide), -2, np.float32)
+        np.matmul(part.astype(np.float32), rough.T, out=similar[:, : len(known)])
+        # The k + 1 largest of the groups' maxima are values of the row, so its k + 1 largest are not smaller.
+        tops = similar.reshape(len(part), groups, wide).max(2)
+        least = np.partition(tops, max(0, groups - k - 1), axis=1)[:, max(0, groups - k - 1)]
+        x, y = np.nonzero(similar[:, : len(known)] >= least[:, None] - MARGIN)
+        x, y = (z[own[x] != others[y]] for z in (x, y))
+        value = np.round(np.einsum("ij,ij->i", part[x], known[y]), 9)
+        q, near, value = _first(own[x], others[y], value, k)
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(near), pa.array(value)], ["cid", "near", "similarity"])
+
+
+def _first(q: np.ndarray, near: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest values of each q, of equals the smaller near; a pair counts once."""
+    order = np.lexsort((near, -value, q))
+    q, near, value = q[order], near[order], value[order]
+    kept = np.r_[True, (q[1:] != q[:-1]) | (near[1:] != near[:-1])][: len(q)]  # equal pairs have equal values
+    q, near, value = q[kept], near[kept], value[kept]
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)])
+    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
+    return q[rank < k], near[rank < k], value[rank < k]
 
 
 def nearest(vectors: DataFrame, wide: int, k: int) -> DataFrame:
@@ -128,86 +173,60 @@ def nearest(vectors: DataFrame, wide: int, k: int) -> DataFrame:
     spark = vectors.sparkSession
     hasher = Hasher(wide)
     kind = np.float32 if vectors.schema["vec"].dataType.elementType.typeName() == "float" else np.float64
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        totals = {depth: np.zeros(SLOTS, np.int64) for depth in LEVELS[:-1]}
-        for batch in batches:
-            if batch.num_rows:
-                unit = _unit(_vectors(batch))
-                for table in range(TABLES):
-                    codes = hasher.codes(unit, table)[0]
-                    for depth in totals:
-                        np.add.at(totals[depth], slots(hasher.key(table, codes, depth)), 1)
-        for depth, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"depth": pa.array(np.full(len(at), depth), pa.int32()), "slot": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
-
-    counts = vectors.select("vec").mapInArrow(count, "depth int, slot long, n long").groupBy("depth", "slot").agg(F.sum("n").alias("n")).where(F.col("n") > F.create_map(*[F.lit(x) for pair in CROWDED.items() for x in pair])[F.col("depth")])
-    found = counts.collect()  # at most SLOTS rows a depth
-    crowded = spark.sparkContext.broadcast({depth: np.array(sorted(r["slot"] for r in found if r["depth"] == depth), np.int64) for depth in LEVELS[:-1]})
+    full = _counted(vectors, lambda unit: np.concatenate([key for table in range(TABLES) for key in hasher.homes(unit, table)]), CROWDED)
+    crowded = spark.sparkContext.broadcast(np.array(sorted(full), np.int64))
+    large = _counted(vectors, lambda unit: np.concatenate([hasher.places(unit, table, crowded.value)[1] for table in range(TABLES)]), REGION)
+    blocks = spark.sparkContext.broadcast((np.array(sorted(large), np.int64), np.array([-(-large[key] // REGION) for key in sorted(large)], np.int64)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, ways = blocks.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw, cid = _vectors(batch), batch.column("cid").to_numpy()
-            unit, at = _unit(raw), np.arange(batch.num_rows)
+            unit = _unit(raw)
             plain = np.ascontiguousarray(raw.astype(kind))  # as delivered, so nothing is lost
             plain = pa.FixedSizeBinaryArray.from_buffers(pa.binary(plain.itemsize * wide), len(raw), [None, pa.py_buffer(plain.tobytes())]).cast(pa.binary())
             for table in range(TABLES):
-                first, second, margin = hasher.codes(unit, table)
-                own = hasher.keys(table, first, crowded.value)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(cid), plain], ["key", "cid", "vec"])
-                order = np.argsort(margin[:, :PROBES], axis=1)
-                for p in range(PROBES):
-                    other = first.copy()
-                    other[at, order[:, p]] = second[at, order[:, p]]
-                    key = hasher.keys(table, other, crowded.value)
-                    new = np.flatnonzero(key != own)  # a value that its bucket does not use leads nowhere else
-                    yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(cid[new]), plain.take(pa.array(new))], ["key", "cid", "vec"])
-
-    buckets = vectors.mapInArrow(place, "key long, cid long, vec binary").repartition("key").sortWithinPartitions("key", "cid")
+                rows, key = hasher.places(unit, table, crowded.value)
+                side = np.zeros(len(key), np.int8)
+                if len(split):
+                    at = np.minimum(np.searchsorted(split, key), len(split) - 1)
+                    n = np.where(split[at] == key, ways[at], 1)
+                    own = (cid[rows].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) >> np.uint64(20)).astype(np.int64) % n
+                    again = np.repeat(np.arange(len(key)), n)
+                    other = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+                    rows, own = rows[again], own[again]
+                    low, high = np.minimum(own, other), np.maximum(own, other)
+                    side = np.where(low == high, 0, np.where(own == low, 1, 2)).astype(np.int8)
+                    with np.errstate(over="ignore"):
+                        key = key[again] ^ ((low << 20 | high) * np.int64(0x2545F4914F6CDD1D))
+                for lo in range(0, len(key), 20_000):
+                    part = pa.array(rows[lo : lo + 20_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 20_000]), pa.array(side[lo : lo + 20_000]), pa.array(cid).take(part), plain.take(part)], ["key", "side", "cid", "vec"])
+
+    regions = vectors.mapInArrow(place, "key long, side byte, cid long, vec binary").repartition("key").sortWithinPartitions("key", "side", "cid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, "key"):
-            keys, cid = table.column("key").to_numpy(), table.column("cid").to_numpy()
+            keys, side, cid = (table.column(c).to_numpy() for c in ("key", "side", "cid"))
             unit = _unit(np.frombuffer(b"".join(table.column("vec").to_pylist()), kind).reshape(len(keys), wide).astype(float))
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            sizes = np.diff(np.r_[starts, len(keys)])
-            for size in np.unique(sizes[sizes > 1]):
-                of = starts[sizes == size]
-                for part in np.array_split(of, max(1, -(-len(of) * int(size) * int(size) // 2_000_000))) if size <= BLOCK else of[:, None]:
-                    if not len(part):
-                        continue
-                    rows = part[:, None] + np.arange(size)
-                    for lo in range(0, int(size), BLOCK):
-                        asked = rows[:, lo : lo + BLOCK]
-                        similar = np.matmul(unit[asked], unit[rows].transpose(0, 2, 1))
-                        same = cid[asked][:, :, None] == cid[rows][:, None, :]
-                        similar[same] = -2
-                        best = _best(similar, k)
-                        value = np.take_along_axis(similar, best, 2)
-                        near = cid[rows][np.arange(len(part))[:, None, None], best]
-                        yield from _pairs(cid[asked], near, value)
-
-    def _pairs(asked: np.ndarray, near: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
-        q = np.broadcast_to(asked[:, :, None], near.shape).ravel()
-        near, value = near.ravel(), value.ravel()
-        kept = value > -1.5
-        yield pa.RecordBatch.from_arrays([pa.array(q[kept]), pa.array(near[kept]), pa.array(np.round(value[kept], 9))], ["cid", "near", "similarity"])
-
-    pairs = buckets.mapInArrow(compare, "cid long, near long, similarity double")
+            for a, b in zip(starts, np.r_[starts[1:], len(keys)]):
+                if b - a < 2:
+                    continue
+                if not side[a]:
+                    yield from _closest(unit[a:b], cid[a:b], unit[a:b], cid[a:b], k)
+                elif (at := a + int(np.searchsorted(side[a:b], 2))) < b:
+                    yield from _closest(unit[a:at], cid[a:at], unit[at:b], cid[at:b], k)
+                    yield from _closest(unit[at:b], cid[at:b], unit[a:at], cid[a:at], k)
+
+    pairs = regions.mapInArrow(compare, "cid long, near long, similarity double")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, "cid"):
-            q, near, value = (table.column(c).to_numpy() for c in ("cid", "near", "similarity"))
-            order = np.lexsort((near, -value, q))
-            q, near, value = q[order], near[order], value[order]
-            kept = np.r_[True, (q[1:] != q[:-1]) | (near[1:] != near[:-1])]  # equal pairs have equal values
-            q, near, value = q[kept], near[kept], value[kept]
-            starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-            rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-            yield pa.RecordBatch.from_arrays([pa.array(x[rank < k]) for x in (q, near, value)], ["cid", "near", "similarity"])
+            best = _first(*(table.column(c).to_numpy() for c in ("cid", "near", "similarity")), k)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["cid", "near", "similarity"])
 
     return pairs.repartition("cid").sortWithinPartitions("cid").mapInArrow(merge, "cid long, near long, similarity double")
 
@@ -216,20 +235,22 @@ def most_similar(points: DataFrame, wide: int = 64, k: int = 5) -> DataFrame:
     """(point_id, rank, neighbour_id, similarity): the k points most similar to each usable point.
 
     Usable are vectors of exactly ``wide`` finite numbers, not all zero, of points with an id; of
-    several usable rows of one point the one embedded last counts. Equal vectors are one class:
-    it is hashed once, and its members get each other (the smallest ids) at similarity 1, so a
-    group of copies of any size costs as much as its members. Ties go to the smaller id. Points
-    without any candidate have no rows; candidates come from hashing, so recall is below 1.
+    several usable rows of one point the one embedded last counts (of equals the larger hash). Equal
+    vectors are one class: it is hashed once, and its members get each other (the smallest ids) at
+    similarity 1, so a group of copies of any size costs as much as its members. Ties go to the
+    smaller id. Points without any candidate have no rows; candidates come from hashing, so recall
+    is below 1. Vectors are shuffled once to find the distinct ones and then once per place.
     """
-    rows = points.where("point_id is not null").where(usable(F.col("cfr_dense"), wide)).select("point_id", F.col("cfr_dense").alias("vec"), F.col("embedded_at").alias("_at"))
-    rows = rows.groupBy("point_id").agg(F.max(F.struct("_at", "vec")).alias("_last")).select("point_id", "_last.vec", F.xxhash64("_last.vec").alias("_h"), F.hash("_last.vec").alias("_g"))
+    fit = points.where("point_id is not null").where(usable(F.col("cfr_dense"), wide)).withColumns({"_h": F.xxhash64("cfr_dense"), "_g": F.hash("cfr_dense")})
+    rows = fit.groupBy("point_id").agg(F.max(F.struct("embedded_at", "_h", "_g")).alias("_last")).select("point_id", "_last._h", "_last._g")
     rows = cut(rows, "points")
     rank = F.expr("row_number() over (partition by _h, _g order by point_id)")
-    heads = rows.select("point_id", "_h", "_g").withColumn("_n", rank).where(F.col("_n") <= k + 1)
+    heads = rows.withColumn("_n", rank).where(F.col("_n") <= k + 1)
     classes = heads.groupBy("_h", "_g").agg(F.min("point_id").alias("point_id"), F.sort_array(F.collect_list("point_id")).alias("heads"))
-    ordered = classes.repartitionByRange("point_id").sortWithinPartitions("point_id").withColumn("cid", F.monotonically_increasing_id())
+    ordered = classes.repartitionByRange("point_id").sortWithinPartitions("point_id").withColumn("cid", F.monotonically_increasing_id()).drop("point_id")
     classes = cut(ordered, "classes")  # cid follows the smallest id
-    vectors = cut(classes.select("cid", "point_id").join(rows.select("point_id", "vec"), "point_id").select("cid", "vec"), "vectors")
+    distinct = fit.groupBy("_h", "_g").agg(F.first("cfr_dense").alias("vec"))  # equal within a class
+    vectors = cut(distinct.join(classes.select("_h", "_g", "cid"), ["_h", "_g"]).select("cid", "vec"), "vectors")
     near = nearest(vectors, wide, k + 1)
     own = classes.where(F.size("heads") > 1).select("cid", F.col("cid").alias("near"), F.lit(1.0).alias("similarity"))
     named = near.unionByName(own).join(classes.select(F.col("cid").alias("near"), "heads"), "near")

@@ -55,16 +55,36 @@ def test_copies_ties_and_unusable(spark):
     assert vectors.most_similar(frame(spark, [])).count() == 0 and vectors.most_similar(frame(spark, [("a", v)])).count() == 0
 
 
-def test_crowded_buckets_are_refined_and_large_runs_compared(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "CROWDED", {1: 30, 2: 30, 3: 30})
-    monkeypatch.setattr(vectors, "BLOCK", 16)
-    rng = np.random.default_rng(2)
-    rows = {f"p{i:03d}": np.ones(64) + rng.normal(size=64) * 0.02 for i in range(300)}
+def recall(spark, rows):
     got = {}
     for r in vectors.most_similar(frame(spark, list(rows.items()))).collect():
-        got.setdefault(r.point_id, set()).add(r.neighbour_id)
-    truth, _ = brute(rows)
-    assert sum(len(set(truth[i]) & got.get(i, set())) for i in truth) / (5 * len(truth)) > 0.9
+        got.setdefault(r.point_id, []).append((r.rank, r.neighbour_id, r.similarity))
+    truth, values = brute(rows)
+    assert all(len(x) == 5 and len({n for _, n, _ in x}) == 5 for x in got.values())
+    return sum(len(set(truth[i]) & {n for _, n, _ in got.get(i, [])}) for i in truth) / (5 * len(truth))
+
+
+def test_few_vectors_are_one_region_and_exact(spark):
+    rng = np.random.default_rng(4)
+    assert recall(spark, {f"p{i:03d}": rng.normal(size=64) for i in range(400)}) == 1
+
+
+def test_crowded_regions_are_refined_and_large_ones_split(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = {f"p{i:03d}": np.ones(64) + rng.normal(size=64) * 0.02 for i in range(300)}  # all in one bucket of any table
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "REGION", 50)
+    assert recall(spark, rows) == 1  # blocks that meet each other lose nothing
+    monkeypatch.setattr(vectors, "CROWDED", 30)
+    assert recall(spark, rows) > 0.9
+
+
+def test_counts_are_exact(spark):
+    rng = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(200)], "cid long, vec array<float>").repartition(3)
+    counts = vectors._counted(table, lambda unit: unit.argmax(1), 0)
+    x = np.array([r.vec for r in table.collect()])
+    assert counts == dict(zip(*map(lambda z: z.tolist(), np.unique(x.argmax(1), return_counts=True))))
 
 
 @pytest.mark.parametrize("wide", [3, 64])
