@@ -120,7 +120,7 @@ def oversized(results: DataFrame, limit: int = LIMIT) -> DataFrame:
     rows = results.where("chunk_id is not null").select("chunk_id", F.array_join(F.transform(first, lambda x: x["text"]), " ").alias("whole"), F.coalesce("section_preamble", F.lit("")).alias("preamble"))
     count = lambda c: F.size(F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != ""))
     most = words_within(limit)
-    long = rows.where(F.length("whole") + F.length("preamble") > 2 * most).where(count("whole") + count("preamble") > most)
+    long = rows.where(F.length("whole") + F.length("preamble") >= 2 * most).where(count("whole") + count("preamble") > most)
     # A chunk's rows agree; if they do not, the largest text counts.
     return long.where("whole <> ''").groupBy("chunk_id").agg(F.max(F.struct("whole", "preamble")).alias("_x")).select("chunk_id", "_x.*")
 

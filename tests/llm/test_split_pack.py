@@ -56,6 +56,8 @@ def test_split_items(spark):
         ("o", words(200), words(60), [("o2", words(100)), ("o2", words(9)), ("o3", None), ("o4", ""), (None, words(5)), ("o", "again")], None),
     ]
     frame = spark.createDataFrame(rows, types)
+    least = spark.createDataFrame([("l", " ".join("w" * 200), " ".join("p" * 98), None, None), ("k", " ".join("w" * 200), " ".join("p" * 97), None, None)], types)
+    assert [r.chunk_id for r in split.oversized(least).collect()] == ["l"]  # 298 words of one letter
     whole = {r.chunk_id: r.whole for r in split.oversized(frame).collect()}
     assert set(whole) == {"a", "o"} and whole["o"] == " ".join([words(200), words(100), words(5)])
     for strategy in ("fill", "bisect"):
