@@ -54,7 +54,7 @@ def external_citations(text: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Upper case after every non-letter, lower case after letters (so an apostrophe starts a word)."""
     apart = F.regexp_replace(text, r"(?<=[^\p{L}])(?=\p{L})", "\u0000")
-    return F.array_join(F.transform(F.split(apart, "\u0000"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))), "")
+    return F.array_join(F.transform(F.split(apart, "\u0000"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.right(w, F.length(w) - 1)))), "")
 
 
 def _heading(text: Column, pattern: str, titled: bool, upper: bool) -> Column:
@@ -204,7 +204,7 @@ def run_id(at: Column) -> Column:
 
 def snake_to_title(name: Column) -> Column:
     """Underscores become blanks and every word starts with a capital; other letters stay."""
-    return F.array_join(F.transform(F.split(F.replace(name, F.lit("_"), F.lit(" ")), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), " ")
+    return F.array_join(F.transform(F.split(F.replace(name, F.lit("_"), F.lit(" ")), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.right(w, F.length(w) - 1))), " ")
 
 
 def byte_size(n: Column) -> Column:
@@ -226,6 +226,49 @@ def decoded(content: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
 
 
+def trimmed_url(url: Column) -> Column:
+    """Without whitespace around it and without slashes at its end."""
+    return F.regexp_replace(F.regexp_replace(url, r"(?U)^\s+|\s+$", ""), "/+$", "")
+
+
+def csv_items(text: Column) -> Column:
+    """The parts between commas, each as ``trimmed_url``, in order of first appearance, without empty ones."""
+    return distinct_strings(F.transform(F.split(F.coalesce(text, F.lit("")), ","), trimmed_url))
+
+
+def distinct_strings(values: Column) -> Column:
+    """In order of first appearance, without nulls and empty ones."""
+    return F.array_distinct(F.filter(values, lambda v: v != ""))
+
+
+def prefixed(name: Column, provider: str) -> Column:
+    """A name with its provider before a slash, once."""
+    return F.when(F.startswith(name, F.lit(f"{provider}/")), name).otherwise(F.concat(F.lit(f"{provider}/"), name))
+
+
+def whole_text(text: Column, parts: Column) -> Column:
+    """A text and the texts of its continuation parts, joined by blanks, without nulls and empty ones."""
+    more = F.transform(F.coalesce(parts, F.expr("cast(array() as array<struct<chunk_id: string, text: string>>)")), lambda p: p["text"])
+    return F.array_join(F.filter(F.concat(F.array(text), more), lambda t: t != ""), " ")
+
+
+def json_list(raw: Column, element: str = "string") -> Column:
+    """The elements of a JSON list; an empty array for other kinds of JSON and for what does not parse."""
+    given = F.when(F.substring(F.ltrim(raw), 1, 1) == "[", F.from_json(raw, f"array<{element}>"))
+    return F.coalesce(given, F.expr(f"cast(array() as array<{element}>)"))
+
+
+def token_index(term: Column) -> Column:
+    """A term's place in a sparse vector: the first 28 bits of its MD5."""
+    return F.conv(F.substring(F.md5(term), 1, 7), 16, 10).cast("int")
+
+
+def sparse_arrays(weights: Column) -> Column:
+    """struct(indices, values) of a map from place to weight, in order of the places."""
+    entries = F.array_sort(F.map_entries(weights))
+    return F.struct(F.transform(entries, lambda e: e["key"]).alias("indices"), F.transform(entries, lambda e: e["value"]).alias("values"))
+
+
 def parsed_json(raw: Column, schema: str) -> Column:
     """A struct from a model's answer: the whole text, else the first fenced block that parses; else null."""
     blocks = F.filter(F.transform(F.split(raw, "```"), lambda b: squeezed(F.regexp_replace(F.trim(b), r"^\s*json", ""))), lambda b: F.substring(b, 1, 1).isin("{", "["))

@@ -52,6 +52,11 @@ def severity_report(documents: DataFrame, findings: DataFrame, severities: tuple
     return rows.withColumn("overall_status", status)
 
 
+def shown_status(status: Column) -> Column:
+    """compliant and non_compliant stay; all else needs a review."""
+    return F.when(status.isin("compliant", "non_compliant"), status).otherwise("needs_review")
+
+
 def summary_line(name: Column, severities: tuple[str, ...] = SEVERITIES) -> Column:
     """``Found 2 potential issues in x.pdf: 1 critical, 1 low.`` from total and the severity counts."""
     parts = F.concat_ws(", ", *[F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(f" {COUNTED.get(s, s)}"))) for s in severities])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from statuta.functions import regulatory as R
+from statuta.runtime import cut, scope
 
 
 def payload(chunks: DataFrame, with_preamble: bool = True) -> DataFrame:
@@ -67,64 +70,124 @@ def lookup(points: DataFrame, chunk_id: str) -> DataFrame:
 
 
 class PointStore:
-    """A versioned table of points in a shared folder, rewritten by key.
+    """A table of points in a shared folder, in buckets by the hash of point_id.
 
-    Each write goes to a new folder and then a one-line pointer is replaced, so readers never see a
-    half-written table and a job that fails in between changes nothing. One writer at a time.
+    A write replaces only the buckets it touches: their new rows go to a new folder, and then a new
+    manifest (one row per bucket, with the declared schema) names the folder of every bucket. Readers
+    take the newest manifest, so they never see a half-written table, and a job that fails in
+    between changes nothing. One writer at a time. Within a bucket rows are in folders by chunk_type
+    and sorted by part and section, so filters on these skip files and row groups.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[str]:
-        if not self._fs.exists(self._path(self.folder)):
-            return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder)))
-        return [n for n in names if n.startswith("v") and self._fs.exists(self._path(f"{self.folder}/{n}/_SUCCESS"))]
-
-    def read(self) -> DataFrame | None:
-        """The newest complete version; null if there is none. Any other failure is raised."""
-        versions = self._versions()
-        return self.spark.read.parquet(f"{self.folder}/{versions[-1]}") if versions else None
-
-    def write(self, points: DataFrame, retries: int = 3, base: float = 2.0) -> None:
-        """Write a new version; a failed write is tried again after base**attempt seconds."""
-        versions = self._versions()
-        number = int(versions[-1][1:9]) + 1 if versions else 1
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64) -> None:
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _names(self, within: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(within))) if self._fs.exists(self._path(within)) else []
+
+    def _manifest(self, number: int | None = None) -> dict | None:
+        """The newest manifest or the one of that number: schema, number of buckets, folder by bucket."""
+        numbers = [int(n.split(".")[0]) for n in self._names("manifests") if n.endswith(".json")]
+        if not numbers or (number is not None and number not in numbers):
+            return None
+        stream = self._fs.open(self._path(f"manifests/{max(numbers) if number is None else number:08d}.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, manifest: dict) -> None:
+        """Write under another name and rename, which is atomic; the manifest replaced stays for readers that have begun."""
+        draft, final = self._path(f"manifests/draft-{uuid.uuid4().hex}"), self._path(f"manifests/{manifest['number']:08d}.json")
+        out = self._fs.create(draft)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not self._fs.rename(draft, final):
+            raise RuntimeError(f"another writer has published {final}")
+        before = self._manifest(manifest["number"] - 1) or {"folders": {}}
+        used = {f.split("/")[0] for m in (manifest, before) for f in m["folders"].values()}
+        for name in self._names("data"):
+            if name not in used:
+                self._fs.delete(self._path(f"data/{name}"), True)
+
+    def ensure(self, schema: StructType) -> bool:
+        """Create the store with the declared schema if it is absent; whether it was."""
+        if self._manifest() is not None:
+            return False
+        self._publish({"number": 1, "buckets": self.buckets, "schema": schema.jsonValue(), "folders": {}})
+        return True
+
+    def bucket(self, key: Column) -> Column:
+        known = self._manifest()
+        return F.pmod(F.xxhash64(key), F.lit(known["buckets"] if known else self.buckets)).cast("int")
+
+    def read(self, buckets: set[int] | None = None) -> DataFrame | None:
+        """The points, or those of some buckets; None if there is no store. Any other failure is raised."""
+        manifest = self._manifest()
+        if manifest is None:
+            return None
+        schema = StructType.fromJson(manifest["schema"])
+        paths = [f"{self.folder}/data/{f}" for b, f in manifest["folders"].items() if buckets is None or int(b) in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(StructType([*schema, StructField("write", StringType()), StructField("bucket", IntegerType())])).option("basePath", f"{self.folder}/data").parquet(*paths)
+        return rows.select(*schema.names)
+
+    def lookup(self, chunk_id: str) -> DataFrame | None:
+        """The point of a chunk, from its bucket alone."""
+        row = self.spark.range(1).select(self.bucket(R.point_id(F.lit(chunk_id)))).first()
+        points = self.read({row[0]})
+        return points and lookup(points, chunk_id)
+
+    def apply(self, upserts: DataFrame, removed: DataFrame | None = None, retries: int = 3, base: float = 2.0) -> int:
+        """Upsert rows and remove keys (point_id); the number of buckets rewritten. A failed write is tried again after base**attempt seconds."""
+        upserts = upserts.withColumn("bucket", self.bucket(F.col("point_id")))
+        gone = removed.select("point_id", self.bucket(F.col("point_id")).alias("bucket")) if removed is not None else None
+        keys = upserts.select("bucket") if gone is None else upserts.select("bucket").unionByName(gone.select("bucket"))
+        touched = {r[0] for r in keys.distinct().collect()}  # at most one row per bucket
+        manifest = self._manifest() or {"number": 0, "buckets": self.buckets, "schema": upserts.drop("bucket").schema.jsonValue(), "folders": {}}
+        stored = self.read(touched)
+        rows = upserts if stored is None else merged(stored.withColumn("bucket", self.bucket(F.col("point_id"))), upserts, gone)
+        if not touched:
+            return 0
+        schema = rows.drop("bucket").schema
+        spread = rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", *[c for c in ("chunk_type", "part_number", "section_number") if c in schema.names])
         for attempt in range(retries + 1):
-            path = f"{self.folder}/v{number:08d}-{uuid.uuid4().hex[:8]}"
+            name = f"write={uuid.uuid4().hex}"
             try:
-                points.write.partitionBy("chunk_type").parquet(path)
+                spread.write.partitionBy("bucket", "chunk_type").parquet(f"{self.folder}/data/{name}")
                 break
             except Exception:
-                self._fs.delete(self._path(path), True)
+                self._fs.delete(self._path(f"data/{name}"), True)
                 if attempt == retries:
                     raise
                 time.sleep(base**attempt)
-        for old in versions[:-1]:  # the version just replaced stays for readers that have begun
-            self._fs.delete(self._path(f"{self.folder}/{old}"), True)
+        written = {int(n.split("=")[1]) for n in self._names(f"data/{name}") if n.startswith("bucket=")}
+        folders = {b: f for b, f in manifest["folders"].items() if int(b) not in touched} | {str(b): f"{name}/bucket={b}" for b in written}
+        self._publish({"number": manifest["number"] + 1, "buckets": manifest["buckets"], "schema": schema.jsonValue(), "folders": folders})
+        return len(touched)
 
     def sync(self, chunks: DataFrame, encode, cleanup_orphans: bool = False) -> dict:
-        """Bring the store up to date with ``chunks``; only changed chunks are encoded.
+        """Bring the store up to date with ``chunks``; only changed chunks are encoded, only their buckets rewritten.
 
         ``encode`` adds vector columns to a DataFrame with embed_text. Of rows with one id the last
         of (source_file, section_seq, seq) counts, as with any later write. A second run with the
         same chunks upserts nothing, skips all and removes none.
         """
-        order = [c for c in ("source_file", "section_seq", "seq") if c in chunks.columns]
-        source = payload(last_write(chunks, "chunk_id", order))
-        stored = self.read()
-        if stored is None:
-            marked = source.withColumn("action", F.lit("upsert"))
-        else:
-            marked = changes(source, stored)
-        totals = {r["action"]: r["count"] for r in marked.groupBy("action").count().collect()}
-        gone = orphans(stored, source) if stored is not None and cleanup_orphans else None
-        n_gone = gone.count() if gone is not None else 0
-        if totals.get("upsert") or n_gone or stored is None:
-            fresh = encode(marked.where("action = 'upsert'").drop("action")).drop("embed_text")
-            self.write(fresh if stored is None else merged(stored, fresh, gone))
+        with scope():
+            order = [c for c in ("source_file", "section_seq", "seq") if c in chunks.columns]
+            source = payload(last_write(chunks, "chunk_id", order))
+            stored = self.read()
+            marked = cut(source.withColumn("action", F.lit("upsert")) if stored is None else changes(source, stored), "marked")
+            totals = {r["action"]: r["count"] for r in marked.groupBy("action").count().collect()}
+            gone = cut(orphans(stored, marked), "gone") if stored is not None and cleanup_orphans else None
+            n_gone = gone.count() if gone is not None else 0
+            if totals.get("upsert") or n_gone or stored is None:
+                fresh = encode(marked.where("action = 'upsert'").drop("action")).drop("embed_text")
+                self.apply(fresh, gone)
         return {"upserted": totals.get("upsert", 0), "skipped_unchanged": totals.get("skip", 0), "deleted_orphans": n_gone}

@@ -58,13 +58,24 @@ def map_claims(claims: DataFrame, points: DataFrame, top: int = TOP, scorer: Cal
     return asked.withColumn("query_id", key).join(lists, "query_id", "left").withColumn("mapping_confidence", F.coalesce(first["reranker_score"], first["score"], F.lit(0.0))).drop("query_id")
 
 
+def claim_context(mapped: DataFrame, most: int = 3, chars: int = 600) -> DataFrame:
+    """``mapped`` with ``context``, for a judge that reads: its first chunks with a text, a citation line above each."""
+    shown = F.filter(F.slice("top_chunks", 1, most), lambda c: F.coalesce(c["text"], F.lit("")) != "")
+    lines = F.transform(shown, lambda c: F.concat(F.lit("["), F.coalesce(c["cfr_citation"], F.lit("")), F.lit("]\n"), R.first_chars(c["text"], chars)))
+    return mapped.withColumn("context", F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, F.array_join(lines, "\n\n")).otherwise("No relevant sections found."))
+
+
 def classify(mapped: DataFrame, judge: Callable[[Column, Column], Column]) -> DataFrame:
     """Findings of the claims that ``judge`` (claim_type, confidence) gives a struct(violation_type, severity).
 
-    Claims judged null or compliant are dropped; type and severity default to incorrect and medium.
+    Claims judged null or compliant (by a field compliant or by the type) are dropped; type and severity
+    default to incorrect and medium.
     """
     verdict = mapped.withColumn("_v", judge(F.col("claim_type"), F.col("mapping_confidence")))
-    kept = verdict.where(F.col("_v").isNotNull() & ~F.coalesce(F.col("_v.violation_type") == "compliant", F.lit(False)))
+    fine = F.coalesce(F.col("_v.violation_type") == "compliant", F.lit(False))
+    if "compliant" in verdict.schema["_v"].dataType.fieldNames():
+        fine = fine | F.coalesce(F.col("_v.compliant"), F.lit(False))
+    kept = verdict.where(F.col("_v").isNotNull() & ~fine)
     first = F.try_element_at("top_chunks", F.lit(1))
     return kept.select(
         "document_id", F.col("claim_no").alias("seq"), "claim_text", "claim_type", "location_hint", first["cfr_citation"].alias("cfr_citation"),

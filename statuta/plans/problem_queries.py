@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.operators import nested, orphans, snapshots
+from statuta.plans.nested_sql import NODES
 from statuta.runtime import read
 
 
+#: The column of each level's table that holds its own key.
+KEYS = nested.LEVELS | {"chunk": "chunk_id", "metric": "position"}
+
+
 def _p1_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return nested.subtype_tables(nested.flatten_nodes(read(spark, folder, "chunk_files")))
 
@@ -20,12 +25,22 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _level(level: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return nested.level_table(_p1_tables(spark, folder), level)
+        return nested.level_table(_p1_tables(spark, folder), level).select("file_id", "node_key", "parent_key", KEYS[level])
 
     query.__name__ = f"p1_{level}s"
     return query
 
 
+def p1_measures(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed table of the metrics that have a value or a unit."""
+    return _p1_tables(spark, folder)["measure"].drop("level")
+
+
+def p1_located_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed table of the chunks that carry their own hierarchy."""
+    return _p1_tables(spark, folder)["chunk_with_path"].drop("level")
+
+
 def p1_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes per structural variant and level."""
     return nested.common(_p1_tables(spark, folder)).groupBy("variant", "level").agg(F.count("*").alias("n_nodes"))
@@ -57,7 +72,7 @@ def p6_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 P1_TABLES = [_level(level) for level in (*nested.LEVELS, "chunk", "metric")]
-QUERIES = {f.__name__: f for f in (p1_found, p1_variants, *P1_TABLES, p3_found, p3_report, p6_found, p6_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_measures, p1_located_chunks, *P1_TABLES, p3_found, p3_report, p6_found, p6_summary)}
 
 _TEXT = r"trim(regexp_replace(coalesce({0}, ''), '[\s\x{{00a0}}]+', ' ', 'g'))"
 _REFS = r"""
@@ -91,6 +106,8 @@ d AS (
   UNION ALL SELECT s.no, o.id, 'removed' FROM s JOIN n o ON o.no = s.before LEFT JOIN n ON n.no = s.no AND n.id = o.id WHERE n.id IS NULL)
 """
 ORACLE = {
+    "p1_found": NODES + "SELECT DISTINCT file_id, node_key, parent_key FROM nodes",
+    **{f"p1_{level}s": NODES + f"SELECT DISTINCT file_id, node_key, parent_key, own_key{'::INT' if level == 'metric' else ''} AS {KEYS[level]} FROM nodes WHERE level = '{level}'" for level in KEYS},
     "p3_found": _REFS + "SELECT DISTINCT result_id, ref_field, ref_key FROM direct",
     "p3_report": _REFS
     + """SELECT target, strftime(ts, '%Y-%m') AS month, kind AS orphan_kind, count(*) AS n_references FROM (

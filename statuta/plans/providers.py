@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statuta.functions.regulatory import sigmoid
+from statuta.functions.regulatory import sigmoid, token_index
+from statuta.functions.text import words
 
 WIDE = 64
 Answer = Callable[[list[dict]], str]
@@ -27,8 +28,8 @@ def hashed_vectors(texts: pd.Series, wide: int = WIDE) -> list[list[float]]:
     found = []
     for text in texts:
         vector = np.zeros(wide)
-        words = re.findall(r"[^\W_]+", (text or "").lower())
-        for gram in [*words, *map(" ".join, zip(words, words[1:]))]:
+        found_words = re.findall(r"[^\W_]+", (text or "").lower())
+        for gram in [*found_words, *map(" ".join, zip(found_words, found_words[1:]))]:
             code = int.from_bytes(blake2b(gram.encode(), digest_size=8).digest(), "big")
             vector[code % wide] += 1 if code >> 63 else -1
         length = np.linalg.norm(vector)
@@ -49,12 +50,54 @@ def encode(rows: DataFrame, text: str = "embed_text", encoder: Callable[[pd.Seri
 
 def overlap_score(query: Column, text: Column) -> Column:
     """Share of the query's distinct words in the text, through a sigmoid; 0.5 without any."""
-    words = lambda c: F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), ""))
-    asked = words(query)
-    share = F.size(F.array_intersect(asked, words(text))) / F.greatest(F.lit(1), F.size(asked))
+    distinct = lambda c: F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), ""))
+    asked = distinct(query)
+    share = F.size(F.array_intersect(asked, distinct(text))) / F.greatest(F.lit(1), F.size(asked))
     return sigmoid(share * 4 - F.when(share > 0, 2).otherwise(0))
 
 
+def sparse_weights(text: Column) -> Column:
+    """A map from term places to weights, counts of words, as an encoder's lexical weights; the largest of words that share a place."""
+    parts = words(text)
+    entries = F.transform(F.array_distinct(parts), lambda w: F.struct(token_index(w).alias("place"), F.size(F.filter(parts, lambda x: x == w)).cast("double").alias("weight")))
+    last = F.array_sort(entries, lambda a, b: F.when(a["place"] == b["place"], F.sign(a["weight"] - b["weight"])).otherwise(F.sign((a["place"] - b["place"]).cast("double"))).cast("int"))
+    kept = F.filter(last, lambda e, i: (i == F.size(last) - 1) | (F.try_element_at(last, i + 2)["place"] != e["place"]))
+    return F.map_from_entries(kept)
+
+
+def encode_batch(rows: DataFrame, text: str = "embed_text", encoder: Callable[[pd.Series], list[list[float]]] = hashed_vectors) -> DataFrame:
+    """``rows`` with ``dense`` and ``sparse`` of one text."""
+    return encode(rows, text, encoder).withColumn("sparse", sparse_weights(F.col(text)))
+
+
+_loaded: dict[str, object] = {}
+
+
+def per_worker(name: str, load: Callable[[], object]) -> object:
+    """The model of that name, loaded when it is first asked for in a Python worker and kept there."""
+    if name not in _loaded:
+        _loaded[name] = load()
+    return _loaded[name]
+
+
+def batch_scorer(score: Callable[[list[tuple[str, str]]], list[float]], most_tokens: int = 512, normalize: bool = True) -> Callable[[Column, Column], Column]:
+    """A scorer for ``rerank`` from a model that scores pairs, called once per Arrow batch.
+
+    Query and text together have at most ``most_tokens`` words: the text is cut to what the query
+    leaves. Null texts count as empty. With ``normalize`` scores go through a sigmoid.
+    """
+
+    @F.pandas_udf("double")
+    def scores(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        pairs = []
+        for query, text in zip(queries.fillna(""), texts.fillna("")):
+            asked = query.split()[:most_tokens]
+            pairs.append((" ".join(asked), " ".join(text.split()[: most_tokens - len(asked)])))
+        return pd.Series(score(pairs) if pairs else [], dtype=float)
+
+    return lambda query, text: sigmoid(scores(query, text)) if normalize else scores(query, text)
+
+
 def parse_answer(raw: str, ask: Answer | None = None, messages: list[dict] | None = None) -> object:
     """JSON of an answer: all of it, else a fenced block, else one more try; ValueError if none parses."""
     blocks = [b.strip().removeprefix("json").strip() for b in raw.split("```")] if "```" in raw else []
@@ -87,6 +130,12 @@ def chained(models: list[Answer]) -> Answer:
     return ask
 
 
+def chained_json(models: list[Callable[[list[dict], bool], str]]) -> Answer:
+    """As ``chained``, of models (messages, json_mode): each is asked in JSON mode, then without, before the next one."""
+    modes = lambda model: [lambda messages: model(messages, True), lambda messages: model(messages, False)]
+    return chained([ask for model in models for ask in modes(model)])
+
+
 def answer_rows(rows: DataFrame, prompt: str, ask: Answer, column: str = "answer") -> DataFrame:
     """``rows`` with the model's parsed answer as JSON text; null where it fails or does not parse."""
 

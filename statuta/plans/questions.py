@@ -15,21 +15,31 @@ from pyspark.sql import functions as F
 from statuta.functions import regulatory as R
 from statuta.operators import retrieval
 from statuta.plans.providers import encode, overlap_score
-from statuta.runtime import cut
+from statuta.runtime import cut, small
 
 MOST_PLANS, MOST_TERMS, PRIMARY, REFERENCED, PER_QUESTION = 2, 10, 8, 4, 10
+#: Sources and referenced sources that a verifier sees, characters of a question at least, and sub-questions at most.
+CHECKED, CHECKED_REFERENCED, LEAST_CHARS, MOST_PARTS = 10, 5, 5, 4
+NO_ANSWER = "No answer could be generated."
 #: Columns of the points and the columns of a plan that restrict them.
 FILTERS = {"part_number": "filter_part", "section_number": "filter_section", "chapter_number": "filter_chapter"}
-PLAN = "intent string, sub_questions array<string>, search_filters struct<part_number: string, section_number: string, chapter_number: string>"
 
 
 def plan_offline(rows: DataFrame) -> DataFrame:
-    """intent, sub_questions and part/section filters from the words of the question."""
+    """intent, sub_questions and part/section/chapter filters from the words of the question.
+
+    Where ``issues`` say what the last answer lacked, a sub-question asks for it.
+    """
     section = F.regexp_extract("query", r"(?i)(?:§|section)\s*(\d+\.\d+)", 1)
     part = F.regexp_extract("query", r"(?i)\bpart\s+(\d+)", 1)
+    chapter = F.regexp_extract("query", r"\b[Cc]hapter\s+([IVXLC]+)\b", 1)
     kind = F.when(F.lower("query").rlike(r"defin|mean of|what is an? "), "definition_lookup").when(F.lower("query").rlike(r"differ|compare|versus"), "comparison").otherwise("compliance_question")
     parts = F.filter(F.split("query", r"(?i)\?\s+|\s+and\s+(?=what|when|how|which)"), lambda q: F.length(F.trim(q)) > 4)
-    return rows.withColumns({"intent": kind, "sub_questions": F.slice(F.when(F.size(parts) > 0, parts).otherwise(F.array("query")), 1, 4), "filter_part": F.nullif(part, F.lit("")), "filter_section": F.nullif(section, F.lit(""))})
+    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array("query"))
+    if "issues" in rows.columns:
+        again = F.concat_ws(" ", "query", F.array_join("issues", " "))
+        parts = F.when(F.size("issues") > 0, F.concat(F.slice(parts, 1, MOST_PARTS - 1), F.array(again))).otherwise(parts)
+    return rows.withColumns({"intent": kind, "sub_questions": F.slice(parts, 1, MOST_PARTS), "filter_chapter": F.nullif(chapter, F.lit("")), "filter_part": F.nullif(part, F.lit("")), "filter_section": F.nullif(section, F.lit(""))})
 
 
 @dataclass(frozen=True)
@@ -73,8 +83,8 @@ def retrieve(planned: DataFrame, points: DataFrame, scorer: Callable[[Column, Co
     filters = {name: column for name, column in FILTERS.items() if column in planned.columns}
     asked = planned.select("query_id", *filters.values(), F.posexplode("sub_questions").alias("sq", "query"))
     asked = encode(asked.select(F.concat_ws("\u0001", "query_id", F.col("sq").cast("string")).alias("query_id"), "query", *filters.values()), "query")
-    fused = _hybrid(points, asked, filters, retrieval.FUSED_TOP)
-    full = fused.join(points.drop("dense", "sparse").withColumnRenamed("point_id", "id"), "id").join(asked.select("query_id", "query"), "query_id")
+    fused = small(_hybrid(points, asked, filters, retrieval.FUSED_TOP), "fused")
+    full = points.drop("dense", "sparse").withColumnRenamed("point_id", "id").join(fused, "id").join(asked.select("query_id", "query"), "query_id")
     best = retrieval.rerank(full, scorer, PER_QUESTION).drop("query")
     back = best.withColumns({"sq": F.split("query_id", "\u0001")[1].cast("int"), "query_id": F.split("query_id", "\u0001")[0]})
     return retrieval.expand_overflow(retrieval.keep_first(back, ["query_id", "id"], ["sq", "rank"]), points)
@@ -96,11 +106,12 @@ def context(retrieved: DataFrame, defined: DataFrame | None = None, others: Data
     """(query_id, context, retrieved_sections): definitions, numbered sources with their next parts, then sources they refer to.
 
     Every text is cut for the prompt: sources to ``chars``, definitions to 500, referenced ones to 600.
+    Sources without any text are left out, but their sections are named.
     """
     cite = F.coalesce("cfr_citation", F.lit("Unknown section")).alias("cite")
     ordered = F.array_sort(F.collect_list(F.struct("sq", "rank", cite, F.concat_ws(" ", "section_preamble", "text", F.array_join(F.transform("overflow_chunks", lambda x: x["text"]), " ")).alias("full"))))
     rows = retrieved.groupBy("query_id").agg(ordered.alias("_s"))
-    lines = F.transform(F.slice("_s", 1, primary), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["cite"], F.lit("\n"), R.first_chars(F.trim(x["full"]), chars)))
+    lines = F.transform(F.slice(F.filter("_s", lambda x: F.trim(x["full"]) != ""), 1, primary), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["cite"], F.lit("\n"), R.first_chars(F.trim(x["full"]), chars)))
     rows = rows.select("query_id", F.array_join(lines, "\n").alias("_lines"), F.array_distinct(F.transform("_s", lambda x: x["cite"])).alias("retrieved_sections"))
     blocks = [F.col("_lines")]
     if defined is not None:
@@ -115,6 +126,20 @@ def context(retrieved: DataFrame, defined: DataFrame | None = None, others: Data
     return rows.select("query_id", F.concat_ws("\n\n", *blocks).alias("context"), "retrieved_sections")
 
 
+def evidence(retrieved: DataFrame, others: DataFrame, primary: int = CHECKED, referenced: int = CHECKED_REFERENCED, chars: int = 600) -> DataFrame:
+    """(query_id, evidence): what a verifier compares an answer with, ``[citation] text`` of the first sources and referenced ones."""
+    line = F.concat(F.lit("["), F.coalesce("cfr_citation", F.lit("")), F.lit("] "), R.first_chars(F.coalesce("text", F.lit("")), chars)).alias("line")
+    first = retrieved.select("query_id", F.lit(0).alias("kind"), F.struct(F.lit("").alias("section"), F.col("sq").cast("double").alias("a"), F.col("rank").cast("double").alias("b"), "chunk_id").alias("place"), line)
+    then = others.select("query_id", F.lit(1).alias("kind"), F.struct("section", F.col("rank").cast("double").alias("a"), F.lit(0.0).alias("b"), "chunk_id").alias("place"), line)
+    lines = lambda kind, most: F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "line")))), 1, most), lambda x: x["line"])
+    return first.unionByName(then).groupBy("query_id").agg(F.array_join(F.concat(lines(0, primary), lines(1, referenced)), "\n---\n").alias("evidence"))
+
+
+def checked_questions(questions: DataFrame) -> DataFrame:
+    """``questions`` (query_id, query) with ``error``: null for those that ``ask`` answers."""
+    return questions.withColumn("error", F.when(F.coalesce(F.length("query"), F.lit(0)) < LEAST_CHARS, f"a question has at least {LEAST_CHARS} characters"))
+
+
 def answer_offline(rows: DataFrame) -> DataFrame:
     """draft_answer is the first source's text; confidence grows with the sources found."""
     first = F.regexp_extract("context", r"(?s)(?:^|\n)\[1\] [^\n]*\n(.*?)(?:\n\[2\]|\n\n\[X1\]|$)", 1)
@@ -124,7 +149,7 @@ def answer_offline(rows: DataFrame) -> DataFrame:
 def verify_offline(rows: DataFrame) -> DataFrame:
     """Passed if every number of the draft stands in the context; a missing verdict passes."""
     numbers = F.array_distinct(F.regexp_extract_all("draft_answer", F.lit(r"\d+(?:\.\d+)?"), 0))
-    missing = F.filter(numbers, lambda n: ~F.contains(F.col("context"), n))
+    missing = F.filter(numbers, lambda n: ~F.contains(F.concat_ws(" ", "context", "evidence"), n))
     return rows.withColumns({"verification_issues": missing, "verification_passed": F.coalesce(F.size(missing) == 0, F.lit(True))})
 
 
@@ -139,18 +164,21 @@ def judge_offline(a: Column, b: Column) -> Column:
 def ask(questions: DataFrame, points: DataFrame, steps: Steps | None = None) -> DataFrame:
     """A row per question (query_id, query of at least 5 characters) with answer, citations and checks.
 
-    A question that fails verification is planned once more, and its second answer stands; what was
-    retrieved the first time is replaced. Shorter questions have no row. The row has the definitions
-    of terms, the chunks of sections referred to, and the pairs of sources that conflict.
+    A question that fails verification is planned once more with the verifier's issues, and its second
+    answer stands; what was retrieved the first time is replaced. Shorter questions have no row (see
+    ``checked_questions``). A null draft, the mark of a model that failed, gives ``NO_ANSWER`` without
+    citations and confidence. The row has the definitions of terms, the chunks of sections referred
+    to, and the pairs of sources that conflict.
     """
     steps = steps or Steps()
-    open_, done = questions.where(F.length("query") >= 5).select("query_id", "query"), None
+    open_, done = checked_questions(questions).where("error is null").select("query_id", "query"), None
     for attempt in range(1, MOST_PLANS + 1):
         planned = cut(steps.plan(open_), "planned")
         retrieved = cut(retrieve(planned, points, steps.scorer), "retrieved")
         defined = cut((steps.define or resolve_terms)(retrieved, complete(points)), "defined")
         others = cut(referenced(planned, retrieved, points), "others")
         drafted = (steps.answer or answer_offline)(planned.join(context(retrieved, defined, others), "query_id", "left"))
+        drafted = drafted.join(evidence(retrieved, others), "query_id", "left")
         checked = (steps.verify or verify_offline)(drafted).withColumn("retry_count", F.lit(attempt - 1) + F.when(F.col("verification_passed"), 0).otherwise(1))
         checked = cut(checked, "answers")
         final = checked if attempt == MOST_PLANS else checked.where("verification_passed")
@@ -160,13 +188,14 @@ def ask(questions: DataFrame, points: DataFrame, steps: Steps | None = None) ->
         flags = flags.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("cite_a", "cite_b"))).alias("conflict_details"))
         for more in (terms, refs, flags):
             final = final.join(more, "query_id", "left")
-        done = final if done is None else done.unionByName(final)
+        done = final if done is None else done.unionByName(final, allowMissingColumns=True)
         if attempt < MOST_PLANS:
-            open_ = checked.where("not verification_passed").select("query_id", "query")
+            issues = F.col("verification_issues") if "verification_issues" in checked.columns else F.expr("cast(array() as array<string>)")
+            open_ = checked.where("not verification_passed").select("query_id", "query", issues.alias("issues"))
             if open_.limit(1).count() == 0:
                 break
     none = F.expr("cast(array() as array<string>)")
-    return done.select("query_id", "query", "intent", F.coalesce("draft_answer", F.lit("")).alias("answer"), F.coalesce("citations", none).alias("citations"), F.coalesce("confidence_score", F.lit(0.0)).alias("confidence_score"), F.coalesce("retrieved_sections", none).alias("retrieved_sections"), "verification_passed", "retry_count", *[F.coalesce(c, F.expr(f"cast(array() as {done.schema[c].dataType.simpleString()})")).alias(c) for c in ("definitions", "cross_ref_chunks", "conflict_details")], (F.coalesce(F.size("conflict_details"), F.lit(0)) > 0).alias("conflicts_detected"))
+    return done.select("query_id", "query", "intent", F.coalesce("draft_answer", F.lit(NO_ANSWER)).alias("answer"), F.when(F.col("draft_answer").isNull(), none).otherwise(F.coalesce("citations", none)).alias("citations"), F.when(F.col("draft_answer").isNull(), 0.0).otherwise(F.coalesce("confidence_score", F.lit(0.0))).alias("confidence_score"), F.coalesce("retrieved_sections", none).alias("retrieved_sections"), "verification_passed", "retry_count", *[F.coalesce(c, F.expr(f"cast(array() as {done.schema[c].dataType.simpleString()})")).alias(c) for c in ("definitions", "cross_ref_chunks", "conflict_details")], (F.coalesce(F.size("conflict_details"), F.lit(0)) > 0).alias("conflicts_detected"))
 
 
 def resolve_terms(retrieved: DataFrame, points: DataFrame) -> DataFrame:

@@ -250,7 +250,7 @@ def union_dedup_keep_first(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.keep_first(hits, ["query_label", "id"], ["query_id", "rank"]).select("query_label", "id", "query_id", "rank")
 
 
-_TERM = "SELECT {0} AS id, unnest(list_filter(string_split_regex(lower({1}), '[^a-z]+'), lambda t: t <> '')) AS term FROM {2} WHERE {1} IS NOT NULL"
+_TERM = r"SELECT {0} AS id, unnest(list_filter(string_split_regex(lower({1}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')) AS term FROM {2} WHERE {1} IS NOT NULL"
 _SPARSE = f"""dt AS (SELECT id, term, count(*) AS w FROM ({_TERM.format('doc_id', 'text', 'documents')}) GROUP BY ALL), qt AS (SELECT id, term, count(*) AS w FROM ({_TERM.format('item_id', 'question', 'eval_items')}) GROUP BY ALL),
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.id AS query_id, t.id, sum(q.w * t.w)::DOUBLE AS score FROM dt t JOIN qt q USING (term) GROUP BY ALL) QUALIFY rank <= 60)"""
 

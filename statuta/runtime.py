@@ -53,6 +53,12 @@ def cut(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, tag: str, most: int = 500_000) -> DataFrame:
+    """``df``, narrow rows, written once; marked for broadcast if it has at most ``most`` rows, else joined by shuffling."""
+    rows = cut(df, tag)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def release(keep: int = 0) -> None:
     """Delete the tables that ``cut`` has written, but for the first ``keep``."""
     while len(_written) > keep:

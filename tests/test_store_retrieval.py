@@ -42,12 +42,27 @@ def test_store_is_idempotent_and_versioned(spark, tmp_path):
     assert second["steps"][1]["result"] == {"upserted": 0, "skipped_unchanged": n, "deleted_orphans": 0}
     (tmp_path / "xml" / "f0.xml").write_text(regulation(section("101.2", "Definitions", "<P><E>Milk</E> means a liquid.</P>")))
     assert run()["steps"][1]["result"] == {"upserted": 1, "skipped_unchanged": 0, "deleted_orphans": n - 1} and points.read().count() == 1
-    assert store.lookup(points.read(), "21-I-SCB-101-A-101-2-def-milk").count() == 1
+    assert store.lookup(points.read(), "21-I-SCB-101-A-101-2-def-milk").count() == points.lookup("21-I-SCB-101-A-101-2-def-milk").count() == 1
     failed = pipeline.ingest(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/chunks", points)
     assert not failed["success"] and [s["status"] for s in failed["steps"]] == ["failed"]
     assert pipeline.ingest_status(False, []) == {"status": "no_run"} and pipeline.ingest_status(True, [failed])["status"] == "running"
 
 
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    points = store.PointStore(spark, f"file://{tmp_path}/points", buckets=10)
+    rows = spark.createDataFrame([(f"p{i:03d}", f"c{i}", "paragraph" if i % 2 else None, f"text {i}") for i in range(100)], "point_id string, chunk_id string, chunk_type string, text string")
+    assert points.ensure(rows.schema) and not points.ensure(rows.schema) and points.read().count() == 0
+    assert points.apply(rows) == 10 and points.read().count() == 100
+    before = points._manifest()["folders"]
+    assert points.apply(rows.where("point_id = 'p007'").withColumn("text", F.lit("new"))) == 1
+    after = points._manifest()["folders"]
+    assert sum(before[b] != after[b] for b in before) == 1 and {r.text for r in points.read().where("point_id = 'p007'").collect()} == {"new"}
+    assert points.apply(rows.limit(0), rows.where("chunk_type is null").select("point_id")) <= 10 and points.read().count() == 50
+    assert points.apply(rows.limit(0)) == 0 and len(points._names("data")) <= 3
+    assert "PartitionFilters: [isnotnull(chunk_type" in points.read().where("chunk_type = 'paragraph'")._jdf.queryExecution().executedPlan().toString()
+    assert points.lookup("absent").count() == 0
+
+
 def test_stream_of_chunk_files(spark, tmp_path):
     from statuta.operators.chunking import chunks
     from statuta.sources.regulation_xml import parse_elements
@@ -82,7 +97,8 @@ def test_search_limits_and_filters(spark):
     assert reranked.where("query_id = 'q1'").count() == 10
     only = retrieval.search(points, asked, filters={"chunk_type": "definition", "part_number": None})
     assert {r.chunk_type for r in only.collect()} == {"definition"} and only.where("query_id = 'q2'").count() == 0
-    for bad in (0, 101):
+    assert retrieval.search(points, asked, top_k=0).where("query_id = 'q1'").count() == 20
+    for bad in (-1, 101):
         with pytest.raises(ValueError):
             retrieval.search(points, asked, top_k=bad)
     with pytest.raises(ValueError):
@@ -185,7 +201,8 @@ def test_scopes_give_the_same_rows_on_every_path(spark, monkeypatch):
     alone = retrieval.dense_search(points.where("scope = 'd'"), asked.where("query_id = '1'"), 5)
     assert [r for r in by_matrix[0] if r[0] == "1"] == rows(alone) and len(by_matrix[0]) == len(by_matrix[1]) == 10
     monkeypatch.setattr(retrieval, "MOST_BROADCAST_QUERIES", 1)
-    monkeypatch.setattr(retrieval, "MOST_CELLS", 0)
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST_TERMS", 1)
+    monkeypatch.setattr(retrieval, "MOST_SCORES", 1)
     assert both() == by_matrix
 
 
@@ -229,6 +246,23 @@ def test_blocks_of_queries_give_the_same_neighbours(spark, monkeypatch):
     assert rows_of() == one and {r[1] for r in one} <= {*range(40), 103} and {r[0] for r in one} == {*range(40), 103}
 
 
+def test_a_task_hands_on_its_best_only(spark):
+    points = spark.range(0, 5_000, 1, 4).select(F.col("id").alias("point_id"), F.array((F.col("id") % 7).cast("double"), F.lit(1.0)).alias("dense"))
+    asked = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "query_id long, vector array<double>")
+    scored = retrieval._partial_cosines(points.select(F.col("point_id").alias("id"), F.col("dense").alias("v")), asked.collect(), asked.schema, 5, [])
+    assert scored.count() == 4 * 3 * 5
+    got = {(r.query_id, r["rank"]): r.id for r in retrieval.dense_search(points, asked, 5).collect()}
+    assert [got[0, i] for i in range(1, 6)] == [6, 13, 20, 27, 34] and [got[1, i] for i in range(1, 6)] == [1, 8, 15, 22, 29]
+    assert {r.term for r in retrieval.terms(spark.createDataFrame([("a", "§ 101.9(b) Año-nuevo")], "id string, text string"), "id").collect()} == {"101", "9", "b", "año", "nuevo"}
+
+
+def test_result_columns(spark):
+    hits = spark.createDataFrame([("q", 1, "c", 0.5, None, None, "9", [None, "1.1"])], "query_id string, rank int, chunk_id string, rrf_score double, reranker_score double, text string, part_number string, cross_references_internal array<string>")
+    row = retrieval.results(hits).first()
+    assert (row.score, row.text, row.cfr_citation, row.metadata.part_number, row.metadata.cross_references_internal, row.metadata.metrics) == (0.5, "", "", "9", [None, "1.1"], [])
+    assert retrieval.compact(retrieval.results(hits)).first().asDict() == {"query_id": "q", "rank": 1, "chunk_id": "c", "text": "", "cfr_citation": "", "chunk_type": "", "section_preamble": None, "defines": None, "score": 0.5, "part_number": "9", "section_number": None}
+
+
 def test_analysis(spark):
     points = corpus(spark, 30).withColumns({"chunk_id": F.col("point_id"), "cfr_citation": F.lit("21 CFR § 101.1")})
     documents = spark.createDataFrame([("d1", "Low sodium milk. Net weight 5 oz. Hello there.", None), ("d2", None, "empty")], "document_id string, text string, error string")
