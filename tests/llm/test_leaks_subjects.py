@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 
 from statuta.llm import leaks, subjects
@@ -99,7 +100,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_office_phrases_are_shares_of_the_texts_whatever_their_subject(spark):
-    choose, seed = random.Random(12), {w: (s, 1.0 + i * 1e-9) for s, words in enumerate(SUBJECTS.values()) for i, w in enumerate(words)}
+    choose, seed = random.Random(12), subjects.lexicon_of({w: (s, 1.0) for s, words in enumerate(SUBJECTS.values()) for w in words})
     names, office, local = list(SUBJECTS), "Please quote the number in replies.", "Every farm1 is kept by farm2 alone."
     for n in (400, 8_000):
         rows = []
@@ -108,8 +109,8 @@ def test_office_phrases_are_shares_of_the_texts_whatever_their_subject(spark):
             text = " ".join(sentence(choose, subject) for _ in range(4))
             rows.append((i, f"{text} {office}" if i % 100 in (0, 1, 2, 3) else f"{text} {local}" if subject == "farm" and i % 20 == 5 else text, None, None))
         rows += [(n + i, sentence(random.Random(1), "law") + " A copied text is one text only.", None, None) for i in range(n // 50)]
-        _, found = subjects.grow(docs(spark, rows), seed, 4)
-        assert found == {subjects.phrase_key(subjects.words_of(office))}
+        found = subjects.office_phrases(subjects.tokenized(docs(spark, rows)), seed, 4)
+        assert found.tolist() == [subjects.mark_of(subjects.words_of(office))]
 
 
 def test_accuracies_are_learned():
@@ -127,4 +128,28 @@ def test_office_phrases_and_sentences():
     text = "Dear all,\n\nApril 3, 2020\n\n- This item is about a long-\nwinded matter of law.\n<p>Second sentence has (five) words.</p> Third no. 12 sentence is not split here.\n\nSincerely,\nThe Office"
     found = [" ".join(w) for _, w in subjects.sentences(text)]
     assert found == ["this item is about a longwinded matter of law", "second sentence has five words", "third no 12 sentence is not split here"]
-    assert subjects.phrase_key(["thank", "you"]) == subjects.phrase_key(["thank", "you"]) and subjects.phrase_key(["w"] * 13) is None
+    assert subjects.mark_of(["thank", "you"]) == subjects.mark_of(["thank", "you"]) != subjects.mark_of(["you", "thank"])
+    ids = subjects.WordIds()
+    assert ids["12"] % 2 == ids["x"] % 2 == 1 and ids["law"] % 2 == 0
+
+
+def test_labels_count_repeated_words_once():
+    table, ids = subjects.lexicon_of({"a1": (0, 1.0), "b1": (1, 1.0), "b2": (1, 1.0)}), subjects.WordIds()
+    found = [["a1", "a1", "zz"], ["b1", "b2", "a1"], ["zz"], ["a1", "b1"]]
+    flat, owner = np.array([ids[w] for x in found for w in x]), np.repeat(np.arange(4), [len(x) for x in found])
+    assert subjects.labels(flat, owner, 4, table, 2, 1.5, 1.0).tolist() == [-1, 1, -1, -1]
+    assert subjects.labels(flat, owner, 4, table, 2, 1.0, 0.5).tolist() == [0, 1, -1, -1] and subjects.labels(flat, owner, 4, subjects.lexicon_of({}), 2).tolist() == [-1] * 4
+
+
+def test_partitions_do_not_matter(spark, monkeypatch):
+    choose = random.Random(8)
+    labelled = spark.createDataFrame([(i, " ".join(sentence(choose, s) for _ in range(3)), s) for i, s in enumerate(list(SUBJECTS) * 8)], "example_id long, text string, subject string")
+    names = spark.createDataFrame([(s, f"About {s}") for s in SUBJECTS], "subject string, description string")
+    rows, _ = made(11, 120)
+    rows += [(500 + i, rows[i % 7][1], None, None) for i in range(40)]  # sentences that recur in many tasks
+    monkeypatch.setattr(subjects, "spread", lambda df, key: df)
+    got = []
+    for n, batch in ((1, 2_000_000), (4, 500), (16, 50)):
+        monkeypatch.setattr(subjects, "MOST_IN_BATCH", batch)
+        got.append(sorted(map(tuple, subjects.subject_areas(docs(spark, rows).repartition(n), labelled, names).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 100
