@@ -190,7 +190,18 @@ def chunk_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def linked_members(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(chunk_id, class_id, n_copies, n_links): every chunk with its class and the similar classes it has."""
-    links = pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("n_links"))
-    sizes = members.groupBy("cid").agg(F.min("chunk_id").alias("class_id"), F.count("*").alias("n_copies"))
-    return members.join(sizes.join(links, "cid", "left"), "cid").select("chunk_id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """(chunk_id, class_id, n_copies, n_links): every chunk with its class and the number of chunks it goes with.
+
+    A link is a pair of ``chunk_pairs``: chunks of similar classes and of one class whose terms do not
+    differ. Links are summed from the counts of terms per class, so no pair of chunks is made.
+    """
+    terms = cut(members.groupBy("cid", "term").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first")), "terms")
+    sizes = terms.groupBy("cid").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_copies"), F.coalesce(F.sum(F.when(F.col("term").isNull(), F.col("n"))), F.lit(0)).alias("free"))
+    near = pairs.select("cid_a", "cid_b").unionByName(pairs.select(F.col("cid_b").alias("cid_a"), F.col("cid_a").alias("cid_b"))).unionByName(sizes.select(F.col("cid").alias("cid_a"), F.col("cid").alias("cid_b")))
+    near = cut(near, "links")
+    around = near.join(sizes.select(F.col("cid").alias("cid_b"), "n_copies", "free"), "cid_b").groupBy(F.col("cid_a").alias("cid")).agg(F.sum("n_copies").alias("every"), F.sum("free").alias("any_term"))
+    same = near.join(terms.where("term is not null").select(F.col("cid").alias("cid_b"), "term", "n"), "cid_b").groupBy(F.col("cid_a").alias("cid"), "term").agg(F.sum("n").alias("same_term"))
+    counted = terms.select("cid", "term").join(sizes.select("cid", "class_id", "n_copies"), "cid").join(around, "cid").join(same, ["cid", "term"], "left")
+    links = F.when(F.col("term").isNull(), F.col("every")).otherwise(F.col("any_term") + F.coalesce("same_term", F.lit(0))) - 1
+    counted = counted.select("cid", F.coalesce("term", F.lit("")).alias("term"), "class_id", "n_copies", links.alias("n_links"))
+    return members.select("chunk_id", "cid", F.coalesce("term", F.lit("")).alias("term")).join(counted, ["cid", "term"]).select("chunk_id", "class_id", "n_copies", "n_links")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -49,8 +50,11 @@ def corpus(seed, n=260):
 def test_equal_to_brute_force(spark, monkeypatch, seed, region):
     monkeypatch.setattr(neardup, "REGION", region)
     rows = corpus(seed)
-    got = [tuple(r) for r in neardup.chunk_pairs(*neardup.near_duplicates(frame(spark, rows))).collect()]
+    members, pairs = neardup.near_duplicates(frame(spark, rows))
+    got = [tuple(r) for r in neardup.chunk_pairs(members, pairs).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) > 50
+    links = {r.chunk_id: r.n_links for r in neardup.linked_members(members, pairs).collect()}
+    assert {k: n for k, n in links.items() if n} == Counter(x for pair in got for x in pair)
 
 
 def test_exact_threshold_and_long_texts(spark):
@@ -66,6 +70,6 @@ def test_copies_nulls_and_empty(spark):
     members, pairs = neardup.near_duplicates(frame(spark, rows))
     assert {tuple(r) for r in neardup.chunk_pairs(members, pairs).collect()} == {("x", "y"), ("u", "x"), ("u", "y"), ("x", "z"), ("y", "z")}
     listed = {r.chunk_id: (r.class_id, r.n_copies, r.n_links) for r in neardup.linked_members(members, pairs).collect()}
-    assert listed == {i: ("u", 4, 0) for i in "xyzu"}
+    assert listed == {i: ("u", 4, n) for i, n in zip("xyzu", (3, 3, 2, 2))}
     members, pairs = neardup.near_duplicates(frame(spark, []))
     assert neardup.chunk_pairs(members, pairs).count() == 0 and neardup.linked_members(members, pairs).count() == 0
