@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions import regulatory as R
 from statuta.functions.text import approx_tokens
+from statuta.operators.ordered import first_so_far, islands, joined, occurrences
 
 SECTION = ["source_file", "section_seq"]
 HIERARCHY = ("title", "chapter", "subchapter", "part", "subpart", "section", "paragraph")
@@ -40,11 +41,6 @@ def label_paths(rows: DataFrame, group: list[str], order: str, label: str = "raw
     return leveled.withColumn("label_path", path)
 
 
-def joined(text: Column, order: Column, separator: str = " ") -> Column:
-    """Aggregate: the texts in order, joined."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), separator)
-
-
 def _placed(elements: DataFrame) -> DataFrame:
     """Sections with parsed headings; parts without a number are dropped."""
     rows = elements.where("error is null and section_seq is not null")
@@ -84,8 +80,7 @@ NO_OVERFLOW = "cast(null as struct<part: int, total_parts: int, next_chunk_id: s
 def definition_chunks(placed: DataFrame, title: str = "21") -> DataFrame:
     """A chunk per paragraph that starts with a term; the first plain paragraph is the preamble of later ones."""
     rows = placed.where(R.is_definitions(F.col("subject")) & F.col("tag").isin("P", "FP") & (F.col("text") != ""))
-    sofar = Window.partitionBy(*SECTION).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("section_preamble", F.first(F.when(F.col("term").isNull(), F.col("text")), ignorenulls=True).over(sofar)).where("term is not null")
+    rows = first_so_far(rows, SECTION, ["pos"], F.when(F.col("term").isNull(), F.col("text")), "section_preamble").where("term is not null")
     cite = F.concat(R.citation(F.col("h.section.number"), title=title), F.lit(" (definition: "), F.col("term"), F.lit(")"))
     rows = rows.select("*", _identified(F.concat(F.lit("def-"), R.slug(F.col("term")))).alias("chunk_id"), F.lit("definition").alias("chunk_type"), cite.alias("cfr_citation"), F.col("term").alias("defines"), F.lit(None).cast("string").alias("label_path"), F.expr(NO_OVERFLOW).alias("overflow_sequence"), F.col("pos").alias("seq"))
     return _finished(rows)
@@ -96,14 +91,12 @@ def paragraph_chunks(placed: DataFrame, title: str = "21", threshold: int = 400)
     items = placed.where(~R.is_definitions(F.col("subject")) & F.col("kind").isin("p", "table") & (F.col("text") != ""))
     items = items.withColumn("raw", F.when(F.col("kind") == "p", R.raw_label(F.col("text"))))
     items = label_paths(items, SECTION, "pos")
-    sofar = Window.partitionBy(*SECTION).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    items = items.withColumn("island", F.sum(F.when(F.col("label_path").isNotNull(), 1).otherwise(0)).over(sofar))
+    items = islands(items, SECTION, ["pos"], F.col("label_path").isNotNull())
     groups = items.groupBy(*SECTION, "island").agg(F.first("h").alias("h"), joined(F.col("text"), F.col("pos")).alias("text"), F.max("label_path").alias("label_path"))
     section = Window.partitionBy(*SECTION)
     groups = groups.withColumn("n_groups", F.max("island").over(section)).withColumn("section_preamble", F.max(F.when((F.col("island") == 0) & (F.col("n_groups") > 0), F.col("text"))).over(section))
     whole = groups.where("n_groups = 0").select("*", _identified(F.lit("sec")).alias("chunk_id"), F.lit("section").alias("chunk_type"), R.citation(F.col("h.section.number"), title=title).alias("cfr_citation"), F.lit(None).cast("string").alias("defines"), F.expr(NO_OVERFLOW).alias("overflow_sequence"), F.lit(0).alias("seq"))
-    same = Window.partitionBy(*SECTION, "label_path")
-    named = groups.where("island > 0").withColumn("n_same", F.count("*").over(same)).withColumn("occ", F.row_number().over(same.orderBy("island")))
+    named = occurrences(groups.where("island > 0"), [*SECTION, "label_path"], ["island"])
     base = F.concat(F.lit("para-"), R.label_suffix(F.col("label_path")), F.when(F.col("n_same") > 1, F.concat(F.lit("-occ"), F.col("occ").cast("string"))).otherwise(""))
     parts = named.withColumn("base", base).withColumn("parts", R.overflow_parts(F.col("text"), threshold)).withColumn("total", F.size("parts")).select("*", F.posexplode("parts").alias("at", "part"))
     numbered = lambda n: F.concat(F.col("base"), F.lit("-part"), n.cast("string"))

@@ -56,18 +56,19 @@ def overlap_score(query: Column, text: Column) -> Column:
     return sigmoid(share * 4 - F.when(share > 0, 2).otherwise(0))
 
 
-def sparse_weights(text: Column) -> Column:
-    """A map from term places to weights, counts of words, as an encoder's lexical weights; the largest of words that share a place."""
-    parts = words(text)
-    entries = F.transform(F.array_distinct(parts), lambda w: F.struct(token_index(w).alias("place"), F.size(F.filter(parts, lambda x: x == w)).cast("double").alias("weight")))
-    last = F.array_sort(entries, lambda a, b: F.when(a["place"] == b["place"], F.sign(a["weight"] - b["weight"])).otherwise(F.sign((a["place"] - b["place"]).cast("double"))).cast("int"))
-    kept = F.filter(last, lambda e, i: (i == F.size(last) - 1) | (F.try_element_at(last, i + 2)["place"] != e["place"]))
-    return F.map_from_entries(kept)
-
-
-def encode_batch(rows: DataFrame, text: str = "embed_text", encoder: Callable[[pd.Series], list[list[float]]] = hashed_vectors) -> DataFrame:
-    """``rows`` with ``dense`` and ``sparse`` of one text."""
-    return encode(rows, text, encoder).withColumn("sparse", sparse_weights(F.col(text)))
+def sparse_weights(rows: DataFrame, key: str, text: str = "embed_text") -> DataFrame:
+    """(key, sparse): a map from term places to weights, counts of words, as an encoder's lexical weights.
+
+    Of words that share a place the largest count stays; texts without words have no row.
+    """
+    counted = rows.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").cast("double").alias("weight"))
+    placed = counted.groupBy(key, token_index(F.col("term")).alias("place")).agg(F.max("weight").alias("weight"))
+    return placed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("sparse"))
+
+
+def encode_batch(rows: DataFrame, key: str, text: str = "embed_text", encoder: Callable[[pd.Series], list[list[float]]] = hashed_vectors) -> DataFrame:
+    """``rows``, one per ``key``, with ``dense`` and ``sparse`` of one text; sparse is null for texts without words."""
+    return encode(rows, text, encoder).join(sparse_weights(rows, key, text), key, "left")
 
 
 _loaded: dict[str, object] = {}

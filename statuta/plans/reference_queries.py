@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from statuta.functions import regulatory as R
 from statuta.functions.text import approx_tokens, squeezed
-from statuta.operators import chunking, reports, retrieval, stats, store
-from statuta.plans.providers import overlap_score
+from statuta.operators import chunking, ordered, reports, retrieval, stats, store
+from statuta.plans import api, questions
+from statuta.plans.jobs import current
+from statuta.plans.providers import overlap_score, sparse_weights
 from statuta.runtime import cut, read, spread
 from statuta.streaming import events as E
 
@@ -331,19 +333,74 @@ def xref_expand(spark: SparkSession, d: str) -> DataFrame:
 _HITS = "SELECT query_id, chunk_id, defines, max(score) AS score FROM search_results WHERE chunk_type = 'definition' AND defines IS NOT NULL AND query_id IS NOT NULL GROUP BY ALL"
 
 
-@query(f"""WITH g AS ({_HITS}), t AS (SELECT query_id, max(lower(defines)) AS term FROM g GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) AS rank FROM g)
-SELECT query_id, term, chunk_id, lower(defines) = term AS exact_match FROM r JOIN t USING (query_id) WHERE rank <= 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lower(defines) = term DESC, rank) = 1""")
+@query(f"""WITH g AS ({_HITS}), t AS (SELECT DISTINCT query_id, lower(defines) AS term FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) AS rank FROM g)
+SELECT query_id, term, chunk_id, lower(defines) = term AS exact_match FROM r JOIN t USING (query_id) WHERE rank <= 3 QUALIFY row_number() OVER (PARTITION BY query_id, term ORDER BY lower(defines) = term DESC, rank) = 1""")
 def definition_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every term that any hit of a query defines, looked up among the query's first hits."""
     rows = read(spark, d, "search_results").where("chunk_type = 'definition' and defines is not null and query_id is not null").groupBy("query_id", "chunk_id", "defines").agg(F.max("score").alias("score"))
-    wanted = rows.groupBy("query_id").agg(F.max(F.lower("defines")).alias("term"))
+    wanted = rows.select("query_id", F.lower("defines").alias("term")).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "chunk_id")
     hits = rows.withColumn("rank", F.row_number().over(order)).join(wanted, "query_id")
     return retrieval.definitions(hits).select("query_id", "term", "chunk_id", "exact_match")
 
 
-@query("SELECT DISTINCT chunk_id, cfr_citation, chunk_type, coalesce(reranker_score, score, 0.0) AS confidence, struct_extract(metadata, 'part_number') AS part_number FROM search_results")
+@query(f"WITH g AS ({_HITS}), t AS (SELECT query_id, lower(defines) AS term, max(chunk_id) AS last FROM g GROUP BY 1, 2) SELECT query_id, count(*) AS n_terms, string_agg(term || '=' || last, ';' ORDER BY term) AS definitions FROM t GROUP BY 1")
+def definition_map(spark: SparkSession, d: str) -> DataFrame:
+    """The map of a query's terms; of several definitions of a term the last by chunk_id stays."""
+    rows = read(spark, d, "search_results").where("chunk_type = 'definition' and defines is not null").select("query_id", F.lower("defines").alias("term"), "chunk_id", F.col("chunk_id").alias("text"))
+    entries = F.map_entries("definitions")
+    return retrieval.last_definitions(rows, ["chunk_id"]).select("query_id", F.size("definitions").cast("long").alias("n_terms"), F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("definitions"))
+
+
+_RESULT = "SELECT DISTINCT query_id, chunk_id, coalesce(text, '') AS text, coalesce(cfr_citation, '') AS cfr_citation, coalesce(chunk_type, '') AS chunk_type, section_preamble, defines, coalesce(reranker_score, score, 0.0) AS score, metadata.part_number AS part_number, metadata.section_number AS section_number FROM search_results"
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """Search results as hits of a search, with the columns that ``results`` reads."""
+    rows = read(spark, d, "search_results").withColumn("rank", F.lit(1))
+    return retrieval.results(rows.select("*", "metadata.part_number", "metadata.section_number", "metadata.source_file", "metadata.cross_references_internal").withColumn("rrf_score", F.col("score")).drop("metadata"))
+
+
+@query(_RESULT)
 def result_projection(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "search_results").select("chunk_id", "cfr_citation", "chunk_type", F.coalesce("reranker_score", "score", F.lit(0.0)).alias("confidence"), F.col("metadata.part_number").alias("part_number")).distinct()
+    return retrieval.compact(_results(spark, d)).drop("rank").distinct()
+
+
+@query("SELECT query_id, count(*) AS total_results, min(chunk_id) AS first_chunk, coalesce(max(len(metadata.cross_references_internal)), 0) AS most_references FROM search_results GROUP BY 1")
+def search_responses(spark: SparkSession, d: str) -> DataFrame:
+    found = api.responses(_results(spark, d))
+    most = F.array_max(F.transform("results", lambda r: F.when(F.size(r["metadata"]["cross_references_internal"]) > 0, F.size(r["metadata"]["cross_references_internal"])))).cast("long")
+    return found.select("query_id", "total_results", F.array_min(F.transform("results", lambda r: r["chunk_id"])).alias("first_chunk"), F.coalesce(most, F.lit(0)).alias("most_references"))
+
+
+@query(r"SELECT DISTINCT chunk_id, array_to_string(list_filter(list_concat([text], list_transform(coalesce(overflow_chunks, []), lambda x: x.text)), lambda t: t <> ''), ' ') AS whole FROM search_results")
+def overflow_concat(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "search_results").select("chunk_id", R.whole_text(F.col("text"), F.col("overflow_chunks")).alias("whole")).distinct()
+
+
+_FILTERED = """SELECT i.item_id AS query_id, i.question, CASE WHEN d.source IN ('rule', 'guidance') OR d.lang = 'en' THEN d.source END AS kind FROM eval_items i LEFT JOIN documents d ON d.doc_id = i.item_id"""
+
+
+@query(f"""WITH q AS ({_FILTERED}), dt AS (SELECT id, source, term, count(*) AS w FROM (SELECT doc_id AS id, source, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY ALL),
+qt AS (SELECT id, kind, term, count(*) AS w FROM (SELECT query_id AS id, kind, unnest(list_filter(string_split_regex(lower(question), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS term FROM q WHERE question IS NOT NULL) GROUP BY ALL)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.id AS query_id, t.id, sum(q.w * t.w)::DOUBLE AS score FROM dt t JOIN qt q ON q.term = t.term AND (q.kind IS NULL OR q.kind = t.source) GROUP BY ALL) QUALIFY rank <= 60""")
+def filtered_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Every question over the documents that its own filter leaves; a null filter leaves all."""
+    documents = _documents(spark, d)
+    kinds = documents.select(F.col("doc_id").alias("query_id"), F.when(F.col("source").isin("rule", "guidance") | (F.col("lang") == "en"), F.col("source")).alias("kind"))
+    asked = read(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("question").alias("query")).join(kinds, "query_id", "left")
+    filters = {"source": "kind"}
+    asked = asked.withColumn("scope", retrieval.scope_of(filters))
+    kept = retrieval.in_scopes(documents.select("doc_id", "text", "source"), asked, filters)
+    words = retrieval.terms(asked, "query_id", "query", also=["scope"]).withColumnRenamed("id", "query_id")
+    return _shown(retrieval.sparse_search(retrieval.terms(kept, "doc_id", also=["scope"]), words, scope=["scope"]))
+
+
+@query("SELECT item_id, CASE WHEN coalesce(length(question), 0) < 5 THEN 'a question has at least 5 characters' END AS error FROM (SELECT item_id, question[1:item_id % 12] AS question FROM eval_items)")
+def question_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Heads of the questions, of 0 to 11 characters, checked as ``ask`` does."""
+    rows = read(spark, d, "eval_items").select("item_id", F.substring("question", F.lit(1), (F.col("item_id") % 12).cast("int")).alias("query"))
+    return questions.checked_questions(rows).select("item_id", "error")
 
 
 # Windows and ordered aggregates
@@ -380,50 +437,64 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT k, pos, first_value(CASE WHEN kind = 'NO' THEN pos END IGNORE NULLS) {_SOFAR} AS first_open FROM {_LINES}")
 def preamble_ffill(spark: SparkSession, d: str) -> DataFrame:
-    sofar = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _lines(spark, d).select("k", "pos", F.first(F.when(F.col("kind") == "NO", F.col("pos")), ignorenulls=True).over(sofar).alias("first_open"))
+    return ordered.first_so_far(_lines(spark, d), ["k"], ["pos"], F.when(F.col("kind") == "NO", F.col("pos")), "first_open").drop("kind")
 
 
 @query(f"SELECT k, island, count(*) AS n, min(pos) AS since FROM (SELECT k, pos, sum(CASE WHEN kind = 'NO' THEN 1 ELSE 0 END) {_SOFAR}::BIGINT AS island FROM {_LINES}) GROUP BY ALL")
 def fold_islands(spark: SparkSession, d: str) -> DataFrame:
-    sofar = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = _lines(spark, d).withColumn("island", F.sum(F.when(F.col("kind") == "NO", 1).otherwise(0)).over(sofar))
+    rows = ordered.islands(_lines(spark, d), ["k"], ["pos"], F.col("kind") == "NO")
     return rows.groupBy("k", "island").agg(F.count("*").alias("n"), F.min("pos").alias("since"))
 
 
 @query("SELECT l_orderkey, l_suppkey, l_linenumber, count(*) OVER w AS n_same, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS occ FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_suppkey)")
 def occurrence_index(spark: SparkSession, d: str) -> DataFrame:
-    same = Window.partitionBy("l_orderkey", "l_suppkey")
-    return read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", F.count("*").over(same).alias("n_same"), F.row_number().over(same.orderBy("l_linenumber", "l_partkey", "l_extendedprice")).alias("occ"))
+    rows = ordered.occurrences(read(spark, d, "lineitem"), ["l_orderkey", "l_suppkey"], ["l_linenumber", "l_partkey", "l_extendedprice"])
+    return rows.select("l_orderkey", "l_suppkey", "l_linenumber", "n_same", "occ")
 
 
 @query(f"SELECT k, pos, lag(kind) OVER w AS prev_kind, lead(kind) OVER w AS next_kind FROM {_LINES} WINDOW w AS (PARTITION BY k ORDER BY pos)")
 def neighbour_links(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("k").orderBy("pos")
-    return _lines(spark, d).select("k", "pos", F.lag("kind").over(w).alias("prev_kind"), F.lead("kind").over(w).alias("next_kind"))
+    return ordered.neighbours(_lines(spark, d), ["k"], ["pos"], "kind").drop("kind")
 
 
 @query(f"SELECT k, string_agg(kind, ' ' ORDER BY pos) AS path FROM {_LINES} GROUP BY k")
 def string_agg_ordered(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).groupBy("k").agg(chunking.joined(F.col("kind"), F.col("pos")).alias("path"))
+    return _lines(spark, d).groupBy("k").agg(ordered.joined(F.col("kind"), F.col("pos")).alias("path"))
 
 
 @query(f"SELECT k, list(kind ORDER BY f) AS kinds FROM (SELECT k, kind, min(pos) AS f FROM {_LINES} GROUP BY ALL) GROUP BY k")
 def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
-    first = _lines(spark, d).groupBy("k", "kind").agg(F.min("pos").alias("f"))
-    return first.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "kind"))), lambda x: x["kind"]).alias("kinds"))
+    return _lines(spark, d).groupBy("k").agg(ordered.distinct_in_order(F.col("kind"), F.col("pos")).alias("kinds"))
 
 
-@query(r"""WITH h AS (SELECT query_id, chunk_id, any_value(coalesce(cfr_citation, 'Unknown section')) AS cite, max(text) AS text, max(score) AS score FROM (SELECT DISTINCT query_id, chunk_id, first_value(cfr_citation) OVER (PARTITION BY query_id, chunk_id ORDER BY result_id) AS cfr_citation, text, score FROM search_results WHERE query_id IS NOT NULL) GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) AS i FROM h QUALIFY i <= 8)
-SELECT query_id, string_agg('[' || i || '] ' || cite || chr(10) || coalesce(text, '')[1:300], chr(10) ORDER BY i) AS context FROM r GROUP BY 1""")
-def context_pack(spark: SparkSession, d: str) -> DataFrame:
+_HIT = r"""h AS (SELECT query_id, chunk_id, max(text) AS text, max(score) AS score, max(section_preamble) AS preamble, max(array_to_string(list_transform(overflow_chunks, lambda x: x.text), ' ')) AS more FROM search_results WHERE query_id IS NOT NULL GROUP BY ALL),
+g AS (SELECT *, (SELECT cfr_citation FROM search_results s WHERE s.query_id = h.query_id AND s.chunk_id IS NOT DISTINCT FROM h.chunk_id ORDER BY s.result_id LIMIT 1) AS cite FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, chunk_id) AS rank FROM g)"""
+
+
+def _retrieved(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of every query as retrieved rows: a row per chunk, ranked by score."""
     rows = read(spark, d, "search_results").where("query_id is not null")
-    hits = rows.groupBy("query_id", "chunk_id").agg(F.min_by("cfr_citation", "result_id").alias("cite"), F.max("text").alias("text"), F.max("score").alias("score"))
+    parts = F.max("overflow_chunks").alias("overflow_chunks")
+    hits = rows.groupBy("query_id", "chunk_id").agg(F.min_by("cfr_citation", "result_id").alias("cfr_citation"), F.max("text").alias("text"), F.max("score").alias("score"), F.max("section_preamble").alias("section_preamble"), parts)
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "chunk_id")
-    top = hits.withColumn("i", F.row_number().over(order)).where("i <= 8")
-    line = F.concat(F.lit("["), F.col("i").cast("string"), F.lit("] "), F.coalesce("cite", F.lit("Unknown section")), F.lit("\n"), R.first_chars(F.coalesce("text", F.lit("")), 300))
-    return top.groupBy("query_id").agg(chunking.joined(line, F.col("i"), "\n").alias("context"))
+    return hits.withColumns({"rank": F.row_number().over(order), "sq": F.lit(0)})
+
+
+@query(rf"""WITH {_HIT},
+t AS (SELECT *, trim(concat_ws(' ', preamble, text, coalesce(more, '')), ' ') AS whole FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM t WHERE whole <> '' QUALIFY i <= 8),
+a AS (SELECT query_id, string_agg('[' || i || '] ' || coalesce(cite, 'Unknown section') || chr(10) || whole[1:800], chr(10) ORDER BY i) AS context FROM n GROUP BY 1),
+f AS (SELECT query_id, coalesce(cite, 'Unknown section') AS cite, min(rank) AS first FROM r GROUP BY ALL)
+SELECT query_id, coalesce(context, '') AS context, list(cite ORDER BY first) AS retrieved_sections FROM f LEFT JOIN a USING (query_id) GROUP BY ALL""")
+def context_pack(spark: SparkSession, d: str) -> DataFrame:
+    return questions.context(_retrieved(spark, d))
+
+
+@query(rf"""WITH {_HIT} SELECT query_id, string_agg('[' || coalesce(cite, '') || '] ' || coalesce(text, '')[1:600], chr(10) || '---' || chr(10) ORDER BY rank) AS evidence FROM r WHERE rank <= 10 GROUP BY 1""")
+def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
+    found = _retrieved(spark, d)
+    return questions.evidence(found, found.limit(0).withColumn("section", F.lit("")))
 
 
 # Reports, events, JSON
@@ -431,28 +502,32 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
 _SEV = {"RF": "critical", "AF": "high", "NO": "medium", "NF": "low"}
 _CASE = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SEV.items()) + " ELSE 'other' END"
 _COUNTS = ", ".join(f"count(*) FILTER (s = '{s}') AS {s}" for s in reports.SEVERITIES)
-_REPORT = f"(SELECT k AS document_id, count(*) AS total, {_COUNTS} FROM (SELECT k, {_CASE} AS s FROM {_LINES}) GROUP BY 1)"
+_FOUND = f"(SELECT k, pos, kind, {_CASE} AS s FROM {_LINES})"
+_PLACES = "CASE s " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(reports.SEVERITIES)) + f" ELSE {len(reports.SEVERITIES)} END"
+_REPORT = f"(SELECT o_orderkey AS document_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'unreadable' END AS error, coalesce(total, 0) AS total, " + ", ".join(f"coalesce({s}, 0) AS {s}" for s in reports.SEVERITIES) + f", findings FROM orders LEFT JOIN (SELECT k, count(*) AS total, {_COUNTS}, string_agg(s || '@' || pos, ' ' ORDER BY {_PLACES}, pos) AS findings FROM {_FOUND} GROUP BY 1) ON k = o_orderkey)"
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).select(F.col("k").alias("document_id"), F.col("pos").alias("seq"), reports.mapped(F.col("kind"), _SEV, "other").alias("severity"), F.col("kind").alias("text"))
 
 
-@query(f"SELECT *, CASE WHEN critical + high > 0 THEN 'non_compliant' WHEN medium + low > 0 THEN 'partially_compliant' ELSE 'compliant' END AS overall_status FROM {_REPORT}")
+@query(f"SELECT *, CASE WHEN error IS NOT NULL AND total = 0 THEN 'error' WHEN critical + high > 0 THEN 'non_compliant' WHEN medium + low > 0 THEN 'partially_compliant' ELSE 'compliant' END AS overall_status, CASE overall_status WHEN 'compliant' THEN 'compliant' WHEN 'non_compliant' THEN 'non_compliant' ELSE 'needs_review' END AS shown FROM {_REPORT}")
 def severity_report(spark: SparkSession, d: str) -> DataFrame:
-    found = _findings(spark, d)
-    documents = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id")).distinct().withColumn("error", F.lit(None).cast("string"))
-    return reports.severity_report(documents, found).drop("findings", "error")
+    """Orders as documents, some with an error; lines as findings, listed by severity."""
+    documents = read(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "unreadable").alias("error"))
+    found = reports.severity_report(documents, _findings(spark, d))
+    lines = F.array_join(F.transform("findings", lambda x: F.concat_ws("@", x["severity"], x["seq"].cast("string"))), " ")
+    return found.withColumns({"findings": lines, "shown": reports.shown_status(F.col("overall_status"))})
 
 
-@query(f"SELECT k AS document_id, 'v-' || pos AS id, CASE kind WHEN 'RF' THEN 'critical' WHEN 'AF' THEN 'warning' WHEN 'NO' THEN 'info' WHEN 'NF' THEN 'pass' ELSE 'info' END AS severity, CASE kind WHEN 'RF' THEN 'Prohibited' ELSE 'Potential Violation' END || ' Health Claim' AS title FROM {_LINES}")
+@query(f"SELECT k AS document_id, 'v-' || pos AS id, CASE kind WHEN 'RF' THEN 'critical' WHEN 'AF' THEN 'warning' WHEN 'NO' THEN 'info' WHEN 'NF' THEN 'pass' ELSE 'info' END AS severity, CASE kind WHEN 'RF' THEN 'Prohibited' ELSE 'Potential Violation' END || ' Health Claim' AS title, 'Health Claim' AS category, CASE kind WHEN 'RF' THEN '{reports.ADVICE['prohibited']}' ELSE '{reports.OTHER_ADVICE}' END AS recommendation, '{reports.DEFAULT_REGULATION}' AS regulation FROM {_LINES}")
 def findings_view(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("text") == "RF", "prohibited")
     rows = _findings(spark, d).withColumns({"violation_type": kind, "claim_type": F.lit("health_claim"), "claim_text": F.col("text"), "explanation": F.lit(""), "cfr_citation": F.lit(None).cast("string")})
-    return reports.finding_view(rows).select("document_id", "id", "severity", "title")
+    return reports.finding_view(rows).select("document_id", "id", "severity", "title", "category", "recommendation", "regulation")
 
 
-@query("SELECT document_id, 'Found ' || total || ' potential issue' || CASE WHEN total > 1 THEN 's' ELSE '' END || ' in ' || document_id || ': ' || concat_ws(', ', CASE WHEN critical > 0 THEN critical || ' critical' END, CASE WHEN high > 0 THEN high || ' high-priority' END, CASE WHEN medium > 0 THEN medium || ' medium' END, CASE WHEN low > 0 THEN low || ' low' END) || '.' AS summary FROM " + _REPORT)
+@query("SELECT document_id, 'Found ' || total || ' potential issue' || CASE WHEN total > 1 THEN 's' ELSE '' END || ' in ' || document_id || ': ' || concat_ws(', ', CASE WHEN critical > 0 THEN critical || ' critical' END, CASE WHEN high > 0 THEN high || ' high-priority' END, CASE WHEN medium > 0 THEN medium || ' medium' END, CASE WHEN low > 0 THEN low || ' low' END) || '.' AS summary FROM " + _REPORT + " WHERE total > 0 UNION ALL SELECT document_id, 'No violations detected in ' || document_id || '.' FROM " + _REPORT + " WHERE total = 0")
 def summary_lines(spark: SparkSession, d: str) -> DataFrame:
     return severity_report(spark, d).select("document_id", reports.summary_line(F.col("document_id").cast("string")).alias("summary"))
 
@@ -482,3 +557,79 @@ def events_tumbling(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, g""")
 def events_session(spark: SparkSession, d: str) -> DataFrame:
     return E.sessions(read(spark, d, "events"))
+
+
+# Strings, lists and sparse vectors
+
+
+_CSV = "concat_ws(',', source, ' https://example.org/' || lang || '// ', file_name, '', source, docket_id || '/')"
+
+
+@query(f"SELECT doc_id, list_filter(p, lambda x, i: x <> '' AND list_position(p, x) = i) AS items FROM (SELECT doc_id, list_transform(string_split({_CSV}, ','), lambda x: rtrim(trim(x), '/')) AS p FROM documents)")
+def csv_items(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat_ws(",", "source", F.concat(F.lit(" https://example.org/"), "lang", F.lit("// ")), "file_name", F.lit(""), "source", F.concat("docket_id", F.lit("/")))
+    return read(spark, d, "documents").select("doc_id", R.csv_items(text).alias("items"))
+
+
+@query("SELECT doc_id, CASE WHEN starts_with(file_name, source || '/') THEN file_name ELSE 'local/' || file_name END AS model FROM (SELECT doc_id, 'local' AS source, CASE WHEN doc_id % 2 = 0 THEN 'local/' || file_name ELSE file_name END AS file_name FROM documents)")
+def prefixed_names(spark: SparkSession, d: str) -> DataFrame:
+    """File names, every other one with the prefix already."""
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("local/"), "file_name")).otherwise(F.col("file_name"))
+    return read(spark, d, "documents").select("doc_id", R.prefixed(name, "local").alias("model"))
+
+
+_PLACE_OF = "('0x' || md5(term)[1:7])::INT"
+
+
+@query(f"WITH t AS (SELECT id, {_PLACE_OF} AS place, max(w) AS w FROM (SELECT id, term, count(*)::DOUBLE AS w FROM ({_TERM.format('doc_id', 'text', 'documents')}) GROUP BY ALL) GROUP BY ALL) SELECT id AS doc_id, list(place ORDER BY place) AS indices, list(w ORDER BY place) AS weights FROM t GROUP BY 1")
+def sparse_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The sparse vector of every document with words, as two lists in order of the places."""
+    rows = sparse_weights(_documents(spark, d), "doc_id", "text").select("doc_id", R.sparse_arrays(F.col("sparse")).alias("v"))
+    return rows.select("doc_id", F.col("v.indices").alias("indices"), F.col("v.values").alias("weights"))
+
+
+@query("SELECT file_id, CASE WHEN json_valid(payload) AND json_type(payload) = 'ARRAY' THEN json_array_length(payload)::INT ELSE 0 END AS n FROM chunk_files")
+def json_list_guard(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "chunk_files").select("file_id", F.size(R.json_list(F.col("payload"))).alias("n"))
+
+
+@query("""SELECT doc_id, '{"doc_id":' || doc_id || ',"source":' || coalesce(to_json(source)::VARCHAR, 'null') || ',"docket_id":' || coalesce(to_json(docket_id)::VARCHAR, 'null') || '}' AS json FROM documents""")
+def json_serialise(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.to_json(F.struct("doc_id", "source", "docket_id"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+_LINE_OF = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)"
+_LEAD = r"^[\s\x{00a0}]*\([\s\x{00a0}]*"
+_END = r"[\s\x{00a0}]*\)[\s\x{00a0}]"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, pos, regexp_extract(line, '{_LEAD}(\d+){_END}', 1) AS n, regexp_extract(line, '(?i){_LEAD}([ivxlcdm]{{1,8}}){_END}', 1) AS r, regexp_extract(line, '{_LEAD}([A-Z]){_END}', 1) AS c, regexp_extract(line, '{_LEAD}([a-z]){_END}', 1) AS a FROM {_LINE_OF})
+SELECT doc_id, pos, CASE WHEN n <> '' THEN 2 WHEN length(r) > 1 THEN 3 WHEN c <> '' THEN 4 ELSE 1 END AS level, '(' || CASE WHEN n <> '' THEN n WHEN length(r) > 1 THEN lower(r) WHEN c <> '' THEN c ELSE a END || ')' AS label FROM l WHERE n <> '' OR length(r) > 1 OR c <> '' OR a <> ''""")
+def label_detect(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that lines of the documents start with, before their context is known."""
+    lines = _documents(spark, d).where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return lines.select("doc_id", "pos", R.raw_label(F.col("line")).alias("x")).where("x is not null").select("doc_id", "pos", "x.level", "x.label")
+
+
+# Jobs and states
+
+
+@query("SELECT user_id::VARCHAR AS job_id, max(event_id)::INT AS seq, arg_max(event_type, event_id) AS status, arg_max(ts, event_id) AS at FROM events WHERE user_id IS NOT NULL GROUP BY ALL")
+def job_current(spark: SparkSession, d: str) -> DataFrame:
+    """Events as state changes of jobs, one a user: the present state of each."""
+    none = F.lit(None).cast("string")
+    changes = read(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").cast("int").alias("seq"), F.col("event_type").alias("status"), none.alias("result"), none.alias("error"), F.col("ts").alias("at"))
+    return current(changes).drop("result", "error")
+
+
+_LABEL = "CASE WHEN s IN ('running', 'no_run') THEN s WHEN ok THEN 'ready' WHEN NOT ok THEN 'error' ELSE 'unknown' END"
+
+
+@query(f"""SELECT o_orderkey, label, CASE label WHEN 'ready' THEN 'Data ready' WHEN 'running' THEN 'Indexing…' WHEN 'error' THEN 'Index error' WHEN 'no_run' THEN 'Not indexed' ELSE '' END AS shown, CASE WHEN ok THEN 'Verified' ELSE 'Unverified' END || ', ' || n || ' citation' || CASE WHEN n = 1 THEN '' ELSE 's' END AS badge
+FROM (SELECT *, {_LABEL} AS label FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'no_run' END AS s, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority = '1-URGENT' END AS ok, (o_orderkey % 4)::INT AS n FROM orders))""")
+def status_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of run states; orders stand for the runs."""
+    status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "no_run")
+    success = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority") == "1-URGENT")
+    label = api.status_label(status, success)
+    return read(spark, d, "orders").select("o_orderkey", label.alias("label"), api.index_label(label).alias("shown"), api.answer_badge(success, (F.col("o_orderkey") % 4).cast("int")).alias("badge"))
