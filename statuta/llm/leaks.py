@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,21 +24,25 @@ from statuta.runtime import spread
 
 WORD = re.compile(r"[^\W_]+")
 GAP = re.compile(r"[\W_]+")
-#: The evaluation texts are broadcast; more than this is refused. (260 items have 0.3 MB.)
-MOST_EVAL_BYTES = 256 << 20
+#: Evaluation texts are broadcast in blocks of so many characters, each a pass over the documents. (260 items
+#: have 0.3 million; the automaton takes about 45 bytes a character in every worker.)
+BLOCK_CHARS = 8_000_000
 RUN = 12
 
 
-def eval_texts(items: DataFrame, fields: list[str]) -> list[tuple[str, str, list[int]]]:
-    """(field, text, item ids) of the distinct texts, after a check of their size."""
+def eval_texts(items: DataFrame, fields: list[str]) -> Iterator[list[tuple[str, str, list[int]]]]:
+    """(field, text, item ids) of the distinct texts, in blocks of bounded size."""
     rows = items.where("item_id is not null").select("item_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")).select("item_id", "x.*").where("text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MOST_EVAL_BYTES:
-        raise ValueError(f"{size} bytes of evaluation texts; split them into parts of at most {MOST_EVAL_BYTES}")
-    by_text: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for item_id, field, text in rows.collect():  # bounded by the check above
-        by_text[field, text].add(item_id)
-    return [(field, text, sorted(ids)) for (field, text), ids in sorted(by_text.items())]
+    texts = rows.groupBy("field", "text").agg(F.sort_array(F.collect_set("item_id")).alias("ids")).orderBy("field", "text")
+    block, size = [], 0
+    for field, text, ids in texts.toLocalIterator():
+        if block and size + len(text) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        block.append((field, text, list(ids)))
+        size += len(text)
+    if block:
+        yield block
 
 
 class Scanner:
@@ -101,10 +106,19 @@ def find_leaks(documents: DataFrame, items: DataFrame, fields: tuple[str, ...] =
     Words are longest runs of letters and digits, lower-cased; nothing else between them counts.
     Evaluation texts of fewer words cannot leak, or with ``short`` do where all their words stand. Items that share a text are all reported. Null,
     empty and wordless texts have no leaks; long ones are scanned whole; repeated documents give
-    repeated rows; other columns are ignored.
+    repeated rows; other columns are ignored. Evaluation texts beyond ``BLOCK_CHARS`` are scanned for in
+    further passes.
     """
-    texts = documents.sparkSession.sparkContext.broadcast(eval_texts(items, list(fields)))
+    rows = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id")
+    schema = "doc_id long, item_id long, field string, start_char int, end_char int"
+    found = None
+    for block in eval_texts(items, list(fields)):
+        part = rows.mapInPandas(_scan(documents.sparkSession.sparkContext.broadcast(block), run, short), schema)
+        found = part if found is None else found.unionByName(part)
+    return documents.sparkSession.createDataFrame([], schema) if found is None else found
 
+
+def _scan(texts: Broadcast, run: int, short: bool):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(texts.value, run, short)
         for batch in batches:
@@ -115,4 +129,4 @@ def find_leaks(documents: DataFrame, items: DataFrame, fields: tuple[str, ...] =
                     rows += [(doc_id, item_id, field, start, end) for item_id in ids]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "field", "start_char", "end_char"])
 
-    return spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id").mapInPandas(scan, "doc_id long, item_id long, field string, start_char int, end_char int")
+    return scan

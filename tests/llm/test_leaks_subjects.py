@@ -59,6 +59,18 @@ def test_short_questions_and_answers_count_whole(spark):
     assert leaks.find_leaks(rows, items, ("passage", "question", "answer")).count() == 0
 
 
+def test_blocks_of_evaluation_texts_find_the_same(spark, monkeypatch):
+    choose = random.Random(3)
+    items = spark.createDataFrame([(i, " ".join(choose.choices("abcdefgh", k=30)), None, None) for i in range(12)] + [(99, None, None, None)], ITEMS)
+    passages = [r.passage for r in items.where("passage is not null").collect()]
+    rows = docs(spark, [(i, f"x {p[4:40]} y {choose.choice(passages)}", None, None) for i, p in enumerate(passages)])
+    got = lambda: sorted(map(tuple, leaks.find_leaks(rows, items).collect()))
+    one = got()
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 100)
+    assert got() == one and len(one) >= 12
+    assert leaks.find_leaks(rows, items.limit(0)).count() == 0
+
+
 SUBJECTS = {s: [f"{s}{i}" for i in range(40)] for s in ("law", "farm", "code", "tax")}
 GENERIC = [f"plain{i}" for i in range(60)]
 
