@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: where the task lets sentences end.
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z(])")
 WORD = re.compile(r"\S+")
 FACTOR, LIMIT, OVERLAP = 1.35, 400, 60
