@@ -105,6 +105,7 @@ def chain_walk(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("chunk_id", F.posexplode("overflow_chunks").alias("at", "x")).select("chunk_id", (F.col("at") + 1).alias("hop"), F.col("x.chunk_id").alias("continuation"))
 
 
+# The citation patterns of the format, as DuckDB writes them.
 _CITES = [r"\d+[\s\x{00a0}]+U\.S\.C\.?[\s\x{00a0}]+[\d§\s\x{00a0}]+[\d][a-z]?(?:\([a-z0-9]+\))?", r"\d+[\s\x{00a0}]+CFR[\s\x{00a0}]+(?:parts?[\s\x{00a0}]+)?\d+(?:\.\d+)?", r"\d+[\s\x{00a0}]+FR[\s\x{00a0}]+\d+", r"E\.O\.[\s\x{00a0}]*\d+|Executive[\s\x{00a0}]+Order[\s\x{00a0}]+\d+"]
 
 

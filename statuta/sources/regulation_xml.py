@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Tags of the format that carry no text of a section.
-IGNORED_TAGS = frozenset(
-    "TOC TOCHD CONTENTS CHAPTI PTHD PGHD SECHD EAR PRTPAGE LRH RRH FAIDS ALPHLIST EXPLA IPAR STUB SIDEHED SIG NAME POSITION OFFICE EDNOTE".split()
-)
-SECTION_HEADS = frozenset("SECTNO SUBJECT CITA AUTH SOURCE PRTPAGE EAR RESERVED".split())
-TEXT_TAGS, TABLE_TAG, PAGE_TAG = frozenset(("P", "FP", "EXTRACT")), "GPOTABLE", "PRTPAGE"
+IGNORED_TAGS = {
+    "TOC", "TOCHD", "CONTENTS", "CHAPTI", "PTHD", "PGHD", "SECHD", "EAR", "PRTPAGE", "LRH", "RRH", "FAIDS", "ALPHLIST", "EXPLA", "IPAR", "STUB", "SIDEHED", "SIG", "NAME", "POSITION", "OFFICE", "EDNOTE",
+}
+SECTION_HEADS = {"SECTNO", "SUBJECT", "CITA", "AUTH", "SOURCE", "PRTPAGE", "EAR", "RESERVED"}
+TEXT_TAGS, TABLE_TAG, PAGE_TAG = {"P", "FP", "EXTRACT"}, "GPOTABLE", "PRTPAGE"
 DEFAULT_TITLE, DEFAULT_CHAPTER = "21", "?"
 
 SCHEMA = (
