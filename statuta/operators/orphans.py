@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions.text import file_stem, squeezed
@@ -13,6 +14,8 @@ from statuta.runtime import cut, salt
 #: A key may hold a third of all references: references are spread over this many tasks per key,
 #: and the target's keys, one row each, are repeated as often.
 WAYS = 8
+#: The end of a life that has not ended.
+FOREVER = datetime(9999, 12, 31)
 
 
 @dataclass(frozen=True)
@@ -27,18 +30,27 @@ class Table:
     reference: Column | None = None
 
 
-def lifetimes(table: Table) -> DataFrame:
-    """(ref_key, lives): one row per key with the distinct life times of its rows.
+def records(table: Table) -> DataFrame:
+    """The distinct (ref_key, since, until) of a table's rows; those without key or start are no records."""
+    rows = table.rows.select(table.key.alias("ref_key"), F.col(table.since).alias("since"), F.col(table.until).alias("until"))
+    return rows.where("ref_key is not null and since is not null").distinct()
+
 
-    Rows without key or without a start are no records. The list is as long as the key was loaded
-    at different times.
+def lifetimes(rows: DataFrame, name: str = "lives") -> DataFrame:
+    """(ref_key, lives): per key the times at which any of its records is alive, as disjoint spans.
+
+    However often a key was loaded, its list is only as long as it has gaps.
     """
-    rows = table.rows.select(table.key.alias("ref_key"), F.col(table.since).alias("since"), F.col(table.until).alias("until"))
-    return rows.where("ref_key is not null and since is not null").groupBy("ref_key").agg(F.collect_set(F.struct("since", "until")).alias("lives"))
+    before = Window.partitionBy("ref_key").orderBy("since").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.max(F.coalesce("until", F.lit(FOREVER))).over(before)
+    spans = rows.where("until is null or until > since").withColumn("_new", F.when(reached >= F.col("since"), 0).otherwise(1))
+    spans = spans.withColumn("_span", F.sum("_new").over(Window.partitionBy("ref_key").orderBy("since").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = spans.groupBy("ref_key", "_span").agg(F.min("since").alias("since"), F.max(F.coalesce("until", F.lit(FOREVER))).alias("until"))
+    return spans.groupBy("ref_key").agg(F.collect_list(F.struct("since", "until")).alias(name))
 
 
 def _alive(lives: str, at: str) -> Column:
-    return F.expr(f"exists({lives}, x -> x.since <= {at} and (x.until is null or x.until > {at}))")
+    return F.expr(f"exists({lives}, x -> x.since <= {at} and x.until > {at})")
 
 
 def _matched(references: DataFrame, lives: DataFrame, spread: str) -> DataFrame:
@@ -56,7 +68,7 @@ def missing(references: DataFrame, targets: dict[str, Table], spread: str = "res
     found = None
     for name, table in targets.items():
         part = references.where((F.col("target") == name) & F.col("ref_key").isNotNull() & F.col("at").isNotNull())
-        part = _matched(part, lifetimes(table), spread).where(~F.coalesce(_alive("lives", "at"), F.lit(False))).drop("lives")
+        part = _matched(part, lifetimes(records(table)), spread).where(~F.coalesce(_alive("lives", "at"), F.lit(False))).drop("lives")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -70,19 +82,19 @@ def cascade(references: DataFrame, targets: dict[str, Table], spread: str = "res
     one appears; each round is written, so a lost executor does not restart the chain. A record
     with a null reference is no orphan.
     """
-    records = {}
+    held = {}
     for name, table in targets.items():
         own = table.reference if table.reference is not None else F.lit(None).cast("string")
-        records[name] = table.rows.select(table.key.alias("own_key"), F.col(table.since).alias("since"), F.col(table.until).alias("until"), own.alias("ref_key")).distinct()
+        held[name] = table.rows.select(table.key.alias("own_key"), F.col(table.since).alias("since"), F.col(table.until).alias("until"), own.alias("ref_key")).distinct()
     broken: dict[str, DataFrame] = {}
     counts: dict[str, int] = {}
     waiting = [name for name, table in targets.items() if table.refers_to is not None]
     while waiting:
         changed = set()
         for name in waiting:
-            inner = records[name].where("own_key is not null and since is not null and ref_key is not null").withColumn("at", F.col("since"))
+            inner = held[name].where("own_key is not null and since is not null and ref_key is not null").withColumn("at", F.col("since"))
             above = targets[name].refers_to
-            lost = cut(_lost(inner, lifetimes(targets[above]), broken.get(above), "own_key").select("own_key", "since", "until").distinct(), "orphans")
+            lost = cut(_lost(inner, records(targets[above]), broken.get(above), "own_key").select("own_key", "since", "until").distinct(), "orphans")
             broken[name], now = lost, lost.count()
             if now != counts.get(name, 0):
                 changed.add(name)
@@ -91,16 +103,18 @@ def cascade(references: DataFrame, targets: dict[str, Table], spread: str = "res
     found = None
     for name, table in targets.items():
         part = references.where((F.col("target") == name) & F.col("ref_key").isNotNull() & F.col("at").isNotNull())
-        part = _lost(part, lifetimes(table), broken.get(name), spread)
+        part = _lost(part, records(table), broken.get(name), spread)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _lost(references: DataFrame, lives: DataFrame, broken: DataFrame | None, spread: str) -> DataFrame:
-    """References without a live record, or whose live records are all in ``broken``; with orphan_kind."""
+def _lost(references: DataFrame, known: DataFrame, broken: DataFrame | None, spread: str) -> DataFrame:
+    """References without a live record in ``known``, or whose live records are all in ``broken``; with orphan_kind."""
+    lives = lifetimes(known)
     if broken is not None:
-        orphaned = broken.groupBy(F.col("own_key").alias("ref_key")).agg(F.collect_set(F.struct("since", "until")).alias("_broken"))
-        lives = lives.join(orphaned, "ref_key", "left").withColumn("sound", F.when(F.col("_broken").isNull(), F.col("lives")).otherwise(F.array_except("lives", "_broken"))).drop("_broken")
+        gone = broken.select(F.col("own_key").alias("_key"), F.col("since").alias("_since"), F.col("until").alias("_until"))
+        rest = known.join(gone, (F.col("ref_key") == F.col("_key")) & (F.col("since") == F.col("_since")) & F.col("until").eqNullSafe(F.col("_until")), "left_anti")
+        lives = lives.join(lifetimes(rest, "sound"), "ref_key", "left")
     else:
         lives = lives.withColumn("sound", F.col("lives"))
     matched = _matched(references, lives, spread)

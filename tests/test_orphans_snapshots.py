@@ -44,6 +44,14 @@ def test_fixpoint_over_a_chain(spark):
     assert sorted((r.result_id, r.orphan_kind) for r in orphans.cascade(asked, known).collect()) == [(0, "inherited"), (1, "inherited"), (2, "direct")]
 
 
+def test_lives_are_disjoint_spans(spark):
+    known = targets(spark, [("a.xml", 0, 3), ("a.xml", 1, 2), ("a.xml", 3, 5), ("a.xml", 7, 7), ("a.xml", 8, None), ("a.xml", 8, 9), ("b.xml", None, 3)], [])
+    (row,) = orphans.lifetimes(orphans.records(known["source_files"])).collect()
+    assert sorted((x.since, x.until) for x in row.lives) == [(day(0), day(5)), (day(8), orphans.FOREVER)]
+    rows = references(spark, [(i, i, "f", "source_files", "a.xml") for i in range(11)])
+    assert sorted(r.result_id for r in orphans.missing(rows, known).collect()) == [5, 6, 7]
+
+
 def test_keys(spark):
     cites = ["21 CFR § 101.13(a)", "21 C.F.R. 133.8 (b)", "16 cfr § 103.20(x)", "40 CFR Sec. 105.966 (definition: x)", "21 CFR §118.26b(a)", "Title 16", "n/a", "", None, "10 CFR § 105.1 [part 1 of 2]", "21 CFR part 101"]
     rows = spark.createDataFrame([(c,) for c in cites], "c string").select(orphans.citation_key(F.col("c")).alias("k"))
