@@ -279,21 +279,29 @@ def rerank(candidates: DataFrame, scorer: Callable[[Column, Column], Column], to
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(top_k, RERANK_TOP))
 
 
-def expand_overflow(hits: DataFrame, chunks: DataFrame, hops: int = MOST_HOPS) -> DataFrame:
+def expand_overflow(hits: DataFrame, chunks: DataFrame, hops: int = MOST_HOPS, chain: str | None = None) -> DataFrame:
     """``hits`` (query_id, chunk_id, ...) with overflow_chunks: the next parts, in order, at most ``hops``.
 
-    Only forward; the walk stops at a null or missing successor, and a cycle ends at the bound. One
-    bounded loop of joins on the chain's links serves all hits.
+    Only forward; the walk stops at a null or missing successor, and a cycle ends at the bound. Where a
+    column ``chain`` says which chunks are parts of one text, their part numbers are one join;
+    otherwise links are followed by one join a hop, for all hits at once.
     """
-    links = chunks.where("overflow_sequence.next_chunk_id is not null or overflow_sequence is not null").select("chunk_id", "text", F.col("overflow_sequence.next_chunk_id").alias("next"))
-    step = hits.select("query_id", F.col("chunk_id").alias("start")).join(links.select(F.col("chunk_id").alias("start"), "next"), "start").where("next is not null")
-    found = None
-    for hop in range(1, hops + 1):
-        at = step.join(links.select(F.col("chunk_id").alias("next"), "text", F.col("next").alias("after")), "next")
-        part = at.select("query_id", F.col("start").alias("chunk_id"), F.lit(hop).alias("hop"), F.col("next").alias("id"), "text")
-        found = part if found is None else found.unionByName(part)
-        step = at.select("query_id", "start", F.col("after").alias("next")).where("next is not null")
-    lists = found.groupBy("query_id", "chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hop", "id", "text"))), lambda x: F.struct(x["id"].alias("chunk_id"), x["text"].alias("text"))).alias("overflow_chunks"))
+    asked = hits.select("query_id", F.col("chunk_id").alias("start"))
+    if chain is not None:
+        parts = chunks.where(F.col(chain).isNotNull() & F.col("overflow_sequence.part").isNotNull()).select(F.col(chain).alias("_chain"), F.col("overflow_sequence.part").alias("_part"), F.col("chunk_id").alias("id"), "text")
+        wanted = asked.join(parts.select(F.col("id").alias("start"), "_chain", "_part"), "start").withColumn("hop", F.explode(F.sequence(F.lit(1), F.lit(hops))))
+        found = wanted.withColumn("_part", F.col("_part") + F.col("hop")).join(parts, ["_chain", "_part"]).select("query_id", F.col("start").alias("chunk_id"), "hop", "id", "text")
+    else:
+        links = chunks.where("overflow_sequence is not null").select("chunk_id", "text", F.col("overflow_sequence.next_chunk_id").alias("next"))
+        step, found = asked.join(links.select(F.col("chunk_id").alias("start"), "next"), "start").where("next is not null"), None
+        for hop in range(1, hops + 1):
+            at = step.join(links.select(F.col("chunk_id").alias("next"), "text", F.col("next").alias("after")), "next")
+            part = at.select("query_id", F.col("start").alias("chunk_id"), F.lit(hop).alias("hop"), F.col("next").alias("id"), "text")
+            found = part if found is None else found.unionByName(part)
+            step = at.select("query_id", "start", F.col("after").alias("next")).where("next is not null")
+    # A missing part ends the walk, so only hops without a gap before them stay.
+    walked = F.filter(F.array_sort(F.collect_list(F.struct("hop", "id", "text"))), lambda x, i: x["hop"] == i + 1)
+    lists = found.groupBy("query_id", "chunk_id").agg(F.transform(walked, lambda x: F.struct(x["id"].alias("chunk_id"), x["text"].alias("text"))).alias("overflow_chunks"))
     none = F.expr("cast(array() as array<struct<chunk_id: string, text: string>>)")
     return hits.join(lists, ["query_id", "chunk_id"], "left").withColumn("overflow_chunks", F.coalesce("overflow_chunks", none))
 

@@ -1,6 +1,6 @@
 """Queries of the engine's own operators over the driver's tables, each with its SQL.
 
-Every query reads whole tables. Searches ask with every row whose id is divisible by 50, or with
+Every query reads whole tables, but change detection, which compares the last two deliveries. Searches ask with every row whose id is divisible by 50, or with
 all evaluation questions.
 """
 
@@ -98,10 +98,10 @@ def overflow_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_PARTS + "SELECT a.doc_id || '-part' || a.part AS chunk_id, b.part - a.part AS hop, b.doc_id || '-part' || b.part AS continuation FROM parts a JOIN parts b ON a.doc_id = b.doc_id AND b.part > a.part AND b.part <= a.part + 5")
 def chain_walk(spark: SparkSession, d: str) -> DataFrame:
-    rows = cut(overflow_chunks(spark, d).where("total_parts > 1"), "parts")  # every hop reads it
+    rows = cut(overflow_chunks(spark, d).where("total_parts > 1"), "parts")  # read as hits and as parts
     name = F.concat(F.col("doc_id").cast("string"), F.lit("-part"), F.col("part").cast("string"))
-    chunks = rows.where("total_parts > 1").select(name.alias("chunk_id"), "text", F.struct("part", "total_parts", "next_chunk_id", "prev_chunk_id").alias("overflow_sequence"))
-    hits = retrieval.expand_overflow(chunks.select(F.lit("all").alias("query_id"), "chunk_id"), chunks)
+    chunks = rows.select("doc_id", name.alias("chunk_id"), "text", F.struct("part", "total_parts", "next_chunk_id", "prev_chunk_id").alias("overflow_sequence"))
+    hits = retrieval.expand_overflow(chunks.select(F.lit("all").alias("query_id"), "chunk_id"), chunks, chain="doc_id")
     return hits.select("chunk_id", F.posexplode("overflow_chunks").alias("at", "x")).select("chunk_id", (F.col("at") + 1).alias("hop"), F.col("x.chunk_id").alias("continuation"))
 
 

@@ -111,6 +111,9 @@ def test_overflow_walk_is_forward_and_bounded(spark):
     hits = spark.createDataFrame([("q", "c0"), ("q", "c6"), ("q", "loop"), ("q", "lone")], "query_id string, chunk_id string")
     got = {r.chunk_id: [x.chunk_id for x in r.overflow_chunks] for r in retrieval.expand_overflow(hits, chunks).collect()}
     assert got == {"c0": ["c1", "c2", "c3", "c4", "c5"], "c6": ["c7", "c8"], "loop": ["loop"] * 5, "lone": []}
+    chained = chunks.withColumn("text_no", F.when(F.col("chunk_id").startswith("c"), 1)).where("chunk_id <> 'c3'")
+    got = {r.chunk_id: [x.chunk_id for x in r.overflow_chunks] for r in retrieval.expand_overflow(hits, chained, chain="text_no").collect()}
+    assert got == {"c0": ["c1", "c2"], "c6": ["c7", "c8"], "loop": [], "lone": []}
 
 
 def test_definitions_and_references(spark):
