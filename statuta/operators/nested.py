@@ -218,13 +218,15 @@ def flatten_nodes(files: DataFrame, id_column: str = "file_id", payload_column:
     return source.where("file_id is not null and payload is not null").mapInPandas(parse, SCHEMA).dropDuplicates(["file_id", "node_key"])
 
 
-def subtype_tables(nodes: DataFrame) -> dict[str, DataFrame]:
+def subtype_tables(nodes: DataFrame, shared_only: bool = False) -> dict[str, DataFrame]:
     """The typed tables, one per variant of ``SUBTYPES``, each with the columns that all share.
 
-    The nodes are parsed once and written in a folder per variant; a table reads its own folder.
+    The nodes are parsed once and written in a folder per variant; a table reads its own folder. With
+    ``shared_only`` the tables have no other columns, and texts are neither shuffled nor written.
     """
-    routed = cut(nodes, "nodes", by="variant")
-    return {variant: routed.where(F.col("variant") == variant).select(*COMMON, *[F.expr(e).alias(c) for c, e in columns.items()]) for variant, columns in SUBTYPES.items()}
+    routed = cut(nodes.select(*COMMON, "variant") if shared_only else nodes, "nodes", by="variant")
+    own = lambda columns: [] if shared_only else [F.expr(e).alias(c) for c, e in columns.items()]
+    return {variant: routed.where(F.col("variant") == variant).select(*COMMON, *own(columns)) for variant, columns in SUBTYPES.items()}
 
 
 def common(tables: dict[str, DataFrame]) -> DataFrame:

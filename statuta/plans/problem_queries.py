@@ -14,13 +14,13 @@ from statuta.runtime import read
 KEYS = nested.LEVELS | {"chunk": "chunk_id", "metric": "position"}
 
 
-def _p1_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return nested.subtype_tables(nested.flatten_nodes(read(spark, folder, "chunk_files")))
+def _p1_tables(spark: SparkSession, folder: str, shared_only: bool = False) -> dict[str, DataFrame]:
+    return nested.subtype_tables(nested.flatten_nodes(read(spark, folder, "chunk_files")), shared_only)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """The keys of all typed tables."""
-    return nested.common(_p1_tables(spark, folder)).select("file_id", "node_key", "parent_key")
+    return nested.common(_p1_tables(spark, folder, shared_only=True)).select("file_id", "node_key", "parent_key")
 
 
 def _level(level: str):
@@ -43,7 +43,7 @@ def p1_located_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes per structural variant and level."""
-    return nested.common(_p1_tables(spark, folder)).groupBy("variant", "level").agg(F.count("*").alias("n_nodes"))
+    return nested.common(_p1_tables(spark, folder, shared_only=True)).groupBy("variant", "level").agg(F.count("*").alias("n_nodes"))
 
 
 def _references(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, orphans.Table]]:
